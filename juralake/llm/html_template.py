@@ -34,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, SHARE, MIN_PAGES = 512, 0.9, 4
+from .common import cut_lineage
+
+CHUNK, SHARE, MIN_PAGES, BROADCAST_BYTES = 512, 0.9, 4, 32 << 20
 _TOKEN = re.compile(r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?[a-zA-Z!][^<>]*>|[^<\s]+|<", re.S | re.I)
 _NAME = re.compile(r"</?[a-zA-Z!][a-zA-Z0-9]*")
 _BLOCK = frozenset("<p <div <li <tr <br <h1 <h2 <h3 <h4 <h5 <h6 <article <section <footer <header <nav <ul <ol <table <title".split()) | {"</p", "</div", "</li", "</tr"}
@@ -59,22 +61,24 @@ def _stats(share: float):
     """Rows (host, token, pages, v1, v2, place, loose) of each chunk; rows come sorted by host and salt."""
 
     def chunk(host, keys, pages):
-        seen: dict[str, list] = {}
-        for key, page in zip(keys, pages, strict=True):
-            names, _ = tokens(page)
-            size = max(1, len(names))
-            first: dict[str, int] = {}
-            for i, x in enumerate(names):
-                first.setdefault(x, i)
-            for x, n in Counter(names).items():
-                s = seen.setdefault(x, [0, 0, 0, 0.0])
-                h = hash_pair(key, n)
-                s[0] += 1
+        names = [tokens(page)[0] for page in pages]
+        held: Counter[str] = Counter()
+        for x in names:
+            held.update(set(x))
+        least = share / 2 * len(pages)
+        common = {x: [n, 0, 0, 0.0] for x, n in held.items() if n >= least}
+        rows = [[(i, x) for i, x in enumerate(page) if x in common] for page in names]
+        for key, page, row in zip(keys, names, rows, strict=True):
+            size = len(page)
+            counts: dict[str, int] = {}
+            for i, x in row:
+                if x not in counts:
+                    common[x][3] += i / size
+                counts[x] = counts.get(x, 0) + 1
+            for x, n in counts.items():
+                s, h = common[x], hash_pair(key, n)
                 s[1] += h & 0x7FFFFFFF
                 s[2] += h >> 33
-                s[3] += first[x] / size
-        least = share / 2 * len(pages)
-        common = {x: s for x, s in seen.items() if s[0] >= least}
         # local classes contain the global ones: check their order here
         classes: dict[tuple, list[str]] = {}
         for x, s in common.items():
@@ -85,9 +89,9 @@ def _stats(share: float):
             for i, x in enumerate(members):
                 place[x] = (k, i, len(members))
         loose: set[str] = set()
-        for page in pages:
+        for row in rows:
             at: dict[tuple, int] = {}
-            for x in tokens(page)[0]:
+            for _, x in row:
                 p = place.get(x)
                 if p is None or x in loose:
                     continue
@@ -155,11 +159,19 @@ def _hosts(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
+def small_or_shuffled(df: DataFrame, width, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table by host, marked for broadcast if the bytes that it has (``width`` a row) are within the limit; beyond it the join shuffles, and adaptive execution splits hot hosts."""
+    total = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def templates(pages: DataFrame, chunk: int = CHUNK, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, template (JSON list of nested classes, each an ordered list of tokens) of every host of at least ``min_pages`` pages."""
     p = _hosts(pages).where("host <> ''")
     size = _hosts(pages.select("page_id", "url", F.lit("").alias("html"))).where("host <> ''").groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
-    keyed = p.select("host", F.xxhash64("page_id", "html").alias("key"), "html").join(size, "host")
+    size = cut_lineage(size)
+    # with the hosts' sizes broadcast, pages are shuffled once, to their chunks
+    keyed = p.select("host", F.xxhash64("page_id", "html").alias("key"), "html").join(small_or_shuffled(size, F.lit(64)), "host")
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("host_pages") / chunk)).cast("int"))
     spread = keyed.select("host", "salt", "key", "html").repartition("host", "salt").sortWithinPartitions("host", "salt")
     stats = spread.mapInArrow(_stats(share), "host string, token string, pages long, v1 long, v2 long, place double, loose int")
@@ -214,6 +226,6 @@ def _extract(batches):
 
 def extract_slots(pages: DataFrame, chunk: int = CHUNK, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, template_tokens, slots (template token before and behind, text) of every page."""
-    t = templates(pages, chunk, share, min_pages)
-    joined = _hosts(pages).join(t, "host", "left").select("page_id", "host", "html", "template")
+    t = cut_lineage(templates(pages, chunk, share, min_pages))
+    joined = _hosts(pages).join(small_or_shuffled(t, F.length("template")), "host", "left").select("page_id", "host", "html", "template")
     return joined.mapInArrow(_extract, "page_id long, host string, template_tokens int, slots array<struct<before:string,behind:string,text:string>>")
