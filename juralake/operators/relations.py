@@ -5,7 +5,7 @@ Tables: parts(child, parent, type); impacts(impact, source, target, type, date,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize_eid
@@ -38,19 +38,16 @@ def annexes(parts: DataFrame, **params) -> DataFrame:
     return subdivisions(parts, ANNEX, **params)
 
 
-def _under(col: Column, work: Column, strict: bool) -> Column:
-    return ((col == work) | col.startswith(F.concat(work, F.lit("/")))) if strict else col.startswith(work)
-
-
 def _by_prefix(rows: DataFrame, col: str, works: DataFrame, strict: bool, segments: int) -> DataFrame:
-    """rows whose id in ``col`` starts with a work's id, as an equi-join.
+    """rows whose id in ``col`` starts with a work's id, as an equi-join on the work.
 
-    A prefix join over many works would compare every pair. Ids are paths, so a row is filed under its first ``segments`` segments less the last one, and a work under its own; what shares a file is then compared. Works must have ``segments`` segments.
+    A prefix join over many works would compare every pair. Ids are paths and works have ``segments`` segments, so a row's id can only start with works made of its first segments and a prefix of the last of these: a few candidates, or one if ``strict``, which are looked up by hash.
     """
-    head = lambda c: F.substring_index(c, "/", segments - 1)
-    w = works.select("work").distinct().withColumn("_file", head(F.col("work")))
-    r = rows.withColumn("_file", head(F.col(col)))
-    return r.join(w, "_file").where(_under(F.col(col), F.col("work"), strict)).drop("_file")
+    head = F.concat(F.substring_index(F.col(col), "/", segments - 1), F.lit("/"))
+    seg = F.get(F.split(F.col(col), "/"), F.lit(segments - 1))
+    some = F.array(seg) if strict else F.transform(F.sequence(F.lit(1), F.length(seg)), lambda i: F.substring(seg, F.lit(1), i))
+    r = rows.where(F.length(seg) > 0).withColumn("work", F.explode(F.transform(some, lambda x: F.concat(head, x))))
+    return r.join(works.select("work").distinct(), "work")
 
 
 def impacts_on(works: DataFrame, impacts: DataFrame, strict: bool = False, segments: int = 3) -> DataFrame:
