@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, binary_rows, buffers, cut_lineage, i64, mix, ragged, slices, span_hash, words
+from .common import ALNUM, U64, binary_rows, buffers, cut_lineage, fresh, i64, mix, ragged, slices, span_hash, words
 
 NGRAM, HASHES, ROWS, THRESHOLD, MISS, BATCH = 3, 128, 4, 0.6, 0.005, 16
 
@@ -199,19 +199,14 @@ def near_duplicate_groups(docs: DataFrame, ngram: int = NGRAM, hashes: int = HAS
     found = reps.select("rep", "sig").mapInArrow(_bands(rows), "key long, rep long")
     # only buckets of two or more go on
     found = cut_lineage(found.withColumn("head", F.min("rep").over(w)).withColumn("tail", F.max("rep").over(w)).where("head <> tail").select("key", "rep", "head"))
-    texts = None
+    # texts of all documents that share a bucket, fetched once for both rounds of verification
+    named = found.select("rep").distinct().join(reps.select("rep", F.col("doc_id").alias("i"), F.col("row_key").alias("k")), "rep")
+    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+    texts = cut_lineage(d.join(named, ["i", "k"]).dropDuplicates(["rep"]).select("rep", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nonlocal texts
         side = lambda s: reps.select(F.col("rep").alias(s), F.col("sig").alias(f"sig_{s}"))
         alive = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prune(hashes, threshold, miss, batch), "a long, b long"))
-        used = alive.select(F.col("a").alias("rep")).unionByName(alive.select(F.col("b").alias("rep"))).distinct()
-        if texts is not None:
-            used = used.join(texts.select("rep"), "rep", "left_anti")
-        named = used.join(reps.select("rep", F.col("doc_id").alias("i"), F.col("row_key").alias("k")), "rep")
-        d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
-        more = d.join(named, ["i", "k"]).dropDuplicates(["rep"]).select("rep", "text")
-        texts = cut_lineage(more if texts is None else texts.unionByName(more))
         text = lambda s: texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}"))
         return cut_lineage(alive.join(text("a"), "a").join(text("b"), "b").mapInArrow(_exact(ngram, threshold), "a long, b long, jaccard double"))
 
@@ -243,8 +238,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without all but the first of each group. Of rows that repeat an id and text one stays; null ids and wordless texts stay."""
     gone = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **params)
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    gone = cut_lineage(gone.select(F.col("doc_id").alias("__gone_id"), F.col("row_key").alias("__gone_key")).distinct())
-    kept = docs.join(gone, (key == F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_key")), "left_anti")
+    i, k = fresh(docs, "gone_id", "gone_key")
+    gone = cut_lineage(gone.select(F.col("doc_id").alias(i), F.col("row_key").alias(k)).distinct())
+    kept = docs.join(gone, (key == F.col(i)) & (F.xxhash64(text) == F.col(k)), "left_anti")
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(key.alias("i"), F.xxhash64(text).alias("k")).count().where("count > 1").select("i")
     if twice.isEmpty():
         return kept
