@@ -82,6 +82,7 @@ class Index:
     item: np.ndarray
     pos: np.ndarray
     q: int
+    short: dict[int, dict[int, list[int]]]  # length -> bytes as a number -> items
 
 
 def build_index(ids: list, texts: list, q: int, rate: float) -> Index | None:
@@ -93,16 +94,20 @@ def build_index(ids: list, texts: list, q: int, rate: float) -> Index | None:
     if not items:
         return None
     m = np.array([len(x) for x in items])
+    short: dict[int, dict[int, list[int]]] = {}
+    for i in np.flatnonzero(m < q).tolist():
+        number = int(grams(np.frombuffer(items[i], np.uint8), int(m[i]))[0])
+        short.setdefault(int(m[i]), {}).setdefault(number, []).append(i)
     edits = np.minimum((m * rate).astype(int), np.maximum(0, (m - q) // q))  # with more edits the bound would be empty
     edits = np.where(m < 2 * q, 0, edits)
-    counts = np.maximum(m - q + 1, 1)
+    counts = np.maximum(m - q + 1, 0)
     bound = np.maximum(m - q + 1 - q * edits, 1)
     g = np.concatenate([grams(np.frombuffer(x, np.uint8), q)[:c] for x, c in zip(items, counts, strict=True)])
     item, pos = np.repeat(np.arange(len(items)), counts), ragged(counts)
     order = np.argsort(g, kind="stable")
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[((g * _MULT) >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
-    return Index(ids, items, edits, bound, table, g[order], item[order], pos[order], q)
+    return Index(ids, items, edits, bound, table, g[order], item[order], pos[order], q, short)
 
 
 def banded(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -133,12 +138,42 @@ def banded(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int)
     return (int(cost[k]), int(begin[k]), int(m + low + k)) if cost[k] <= most else None
 
 
+def _find_short(data: np.ndarray, off: np.ndarray, index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Items of fewer than q characters as whole words: (text, item) -> (0 edits, start, end) of the first place."""
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    begins = np.concatenate([[True], data[:-1] == 32])
+    begins[off[:-1][off[:-1] < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    for length, known in index.short.items():
+        at = starts[starts + length < len(data)]
+        at = at[data[at + length] == 32]
+        g = grams(data, length)[at]
+        for p, number in zip(at[hit := np.isin(g, np.array(list(known), U64))].tolist(), g[hit].tolist(), strict=True):
+            d = int(np.searchsorted(off, p, "right")) - 1
+            for i in known[number]:
+                out.setdefault((d, i), (0, p - int(off[d]), p - int(off[d]) + length))
+    return out
+
+
 def find(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item, edits, start, end) for each text and item that occurs in it; start and end are bytes of the lower-cased text."""
     data, off, came = normalise(texts)
     q, n = index.q, len(data)
     if not n:
         return []
+    best = _find_short(data, off, index) if index.short else {}
+    if len(index.gram):
+        _find_long(data, off, index, best)
+    out = []
+    for (d, i), (edits, x, y) in sorted(best.items()):
+        o = int(came[off[d]])
+        out.append((d, i, edits, int(came[off[d] + x]) - o, int(came[off[d] + max(y - 1, x)]) - o + 1))
+    return out
+
+
+def _find_long(data: np.ndarray, off: np.ndarray, index: Index, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Adds to best: (text, item) -> (edits, start, end), by q-gram counts and banded alignment."""
+    q, n = index.q, len(data)
     g = grams(data, q)
     hit = index.table[((g * _MULT) >> U64(64 - _TABLE_BITS)).astype(np.int64)]
     # A window as long as the longest occurrence must hold the least bound of hits. Items of like length share a test.
@@ -146,10 +181,10 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     total = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
     where = np.flatnonzero(hit)
     if not len(where):
-        return []
-    cls = np.floor(np.log2(m) * 4).astype(int)
+        return
+    cls = np.where(m < q, -1, np.floor(np.log2(m) * 4).astype(int))
     wanted = np.zeros(n, bool)
-    for c in np.unique(cls):
+    for c in np.unique(cls[cls >= 0]):
         span, least = int((m + index.edits)[cls == c].max()), int(index.bound[cls == c].min())
         stop = np.minimum(where + span, n)
         dense = (total[stop] - total[where]) >= least  # the window from this hit on
@@ -160,16 +195,15 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
             wanted |= np.cumsum(step)[:-1] > 0
     where = where[wanted[where]]
     if not len(where):
-        return []
+        return
     lo, hi = np.searchsorted(index.gram, g[where], "left"), np.searchsorted(index.gram, g[where], "right")
     many = hi - lo
     at = np.repeat(lo, many) + ragged(many)
     p, item = np.repeat(where, many), index.item[at]
     doc = np.searchsorted(off, p, "right") - 1
     diag = p - index.pos[at]
-    out = []
     if not len(p):
-        return out
+        return
     # bands of twice the alignment's spread (edits each way), shifted by half
     spread = index.edits[item] + 1
     base = diag - off[doc] + 2 * int(m.max())
@@ -182,7 +216,6 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     uniq, first, count = np.unique(key, return_index=True, return_counts=True)
     first %= len(p)
     good = count >= index.bound[item[first]]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for k, f in zip(uniq[good].tolist(), first[good].tolist(), strict=True):
         d, i, half = int(doc[f]), int(item[f]), k & 1
         if best.get((d, i), (1,))[0] == 0:
@@ -199,11 +232,7 @@ def find(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
         if found:
             edits, x, y = found
             best[d, i] = min(best.get((d, i), (10**9, 0, 0)), (edits, a + x, a + y))
-    shift = off[:-1]
-    for (d, i), (edits, x, y) in sorted(best.items()):
-        o = int(came[shift[d]])
-        out.append((d, i, edits, int(came[shift[d] + x]) - o, int(came[shift[d] + max(y - 1, x)]) - o + 1))
-    return out
+
 
 
 def _search(index: Index):

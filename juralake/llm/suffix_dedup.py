@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, U64, buffers, i64, ragged, slices, span_hash, words
+from .common import NONSPACE, U64, buffers, fresh, i64, ragged, slices, span_hash, words
 
 LENGTH, KMER, WINDOW = 50, 5, 40
 _POS = 22
@@ -222,17 +222,19 @@ def _cut(texts, spans):
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **params) -> DataFrame:
     """docs without later copies of repeated passages; ``chars_col``, if there is one, follows the shortened texts. Texts of which only white space is left are dropped."""
-    spans = repeat_spans(docs, id_col=id_col, text_col=text_col, **params).where("size(cuts) > 0").select(F.col("doc_id").alias("__cut_id"), F.col("row_key").alias("__cut_key"), F.col("cuts").alias("__cuts"))
+    i, k, cuts, new_text = fresh(docs, "cut_id", "cut_key", "cut_spans", "cut_text")
+    spans = repeat_spans(docs, id_col=id_col, text_col=text_col, **params).where("size(cuts) > 0").select(F.col("doc_id").alias(i), F.col("row_key").alias(k), F.col("cuts").alias(cuts))
 
     @F.pandas_udf("string")
     def shorten(t: pd.Series, s: pd.Series) -> pd.Series:
         return _cut(t, s)
 
     text = F.col(text_col).cast("string")
-    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col("__cut_id")) & (F.xxhash64(text) == F.col("__cut_key")), "left")
-    short = joined.withColumn("__short", F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(shorten(F.col(text_col), F.col("__cuts"))))
-    short = short.where(F.col("__cuts").isNull() | (F.regexp_replace("__short", r"\s+", "") != ""))
-    new = {text_col: F.col("__short")}
+    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(k)), "left")
+    whole = F.col(cuts).isNull()
+    short = joined.withColumn(new_text, F.when(whole, text).otherwise(shorten(text, F.col(cuts))))
+    short = short.where(whole | (F.regexp_replace(new_text, r"\s+", "") != ""))
+    new = {text_col: F.col(new_text)}
     if chars_col and chars_col in docs.columns:
-        new[chars_col] = F.when(F.col("__cuts").isNull(), F.col(chars_col)).otherwise(F.length("__short").cast(docs.schema[chars_col].dataType))
+        new[chars_col] = F.when(whole, F.col(chars_col)).otherwise(F.length(new_text).cast(docs.schema[chars_col].dataType))
     return short.withColumns(new).select(docs.columns)
