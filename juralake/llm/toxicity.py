@@ -97,23 +97,26 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, min_g2: float =
     texts, labels = texts.take(pa.array(first)), labels[first]
     if len(labels) == 0 or labels.min() == labels.max():
         return np.zeros(0, np.int64), np.zeros(0), -30.0
-    parts, docs, sentences = [], 0, 0
-    batch = pa.RecordBatch.from_arrays([texts], ["text"])
-    for p in slices(batch):
+    batch, docs, bad = pa.RecordBatch.from_arrays([texts], ["text"]), len(texts), int((labels > 0).sum())
+    n, k, base = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32), 0
+    for p in slices(batch):  # in how many documents, and toxic ones, each word is
         slot, sentence, owner, *_ = features(p.column("text"), bits)
-        parts.append((slot, sentence + sentences, owner + docs))
-        docs, sentences = docs + p.num_rows, sentences + len(owner)
-    slot, sentence, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-    slot, sentence = slot.ravel(), np.repeat(sentence, 2)
-    pair = np.unique(slot * docs + owner[sentence])
-    word, toxic = pair // docs, labels[pair % docs] > 0
-    n, k, bad = np.bincount(word, minlength=1 << bits), np.bincount(word[toxic], minlength=1 << bits), int((labels > 0).sum())
+        pair = np.unique(slot.ravel() * p.num_rows + np.repeat(owner[sentence], 2))
+        word, toxic = pair // p.num_rows, labels[base + pair % p.num_rows] > 0
+        np.add.at(n, word, 1)
+        np.add.at(k, word[toxic], 1)
+        base += p.num_rows
     names = np.flatnonzero(n)
-    names = names[_g2(k[names], n[names], bad, docs) >= min_g2]
-    place = np.full(1 << bits, -1, np.int64)
+    names = names[_g2(k[names].astype(float), n[names].astype(float), bad, docs) >= min_g2]
+    place = np.full(1 << bits, -1, np.int32)
     place[names] = np.arange(len(names))
-    use = place[slot] >= 0
-    col, row = place[slot[use]], sentence[use]
+    parts, base, sentences = [], 0, 0
+    for p in slices(batch):  # only the chosen words' occurrences are kept
+        slot, sentence, owner, *_ = features(p.column("text"), bits)
+        at = place[slot.ravel()]
+        parts.append((at[at >= 0], np.repeat(sentence, 2)[at >= 0] + sentences, owner + base))
+        base, sentences = base + p.num_rows, sentences + len(owner)
+    col, row, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     y = labels.astype(float)
     w, b = np.zeros(len(names)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -159,7 +162,7 @@ def _score(model, bits: int, threshold: float, sentence: float):
     OUT = pa.list_(pa.struct([("sentence", pa.int32()), ("byte_start", pa.int32()), ("byte_end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        table = np.zeros(1 << bits)
+        table = np.zeros(1 << bits, np.float32)
         table[names] = weights
         for batch in batches:
             for part in slices(batch):
@@ -186,7 +189,7 @@ def _keep(model, bits: int, threshold: float):
     names, weights, bias = model
 
     def run(batches):
-        table = np.zeros(1 << bits)
+        table = np.zeros(1 << bits, np.float32)
         table[names] = weights
         for batch in batches:
             at = batch.schema.names.index("text")
