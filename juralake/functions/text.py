@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements that structure a document's body.
-HIERARCHY_TAGS = ("book", "part", "title", "chapter", "section", "subdivision", "article", "paragraph", "level", "transitional", "proviso")
+HIERARCHY_TAGS = tuple("article book chapter level paragraph part proviso section subdivision title transitional".split())
 #: code, end of the vocabulary URI, tag. Rumantsch differs in both encodings.
 LANGUAGES = (("de", "DEU", "de"), ("fr", "FRA", "fr"), ("it", "ITA", "it"), ("en", "ENG", "en"), ("roh", "ROH", "rm"))
 

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import HIERARCHY_TAGS, normalize_eid, snippet, unlinked_ref, work_eli_path
 
-FOREIGN_KINDS = (
-    ("svg", ("svg", "path", "rect", "g", "circle")),
-    ("mathml", ("math", "mrow", "mi", "mo", "mn", "mfrac", "msub", "msup", "mtext")),
-    ("skos", ("prefLabel", "altLabel", "notation", "Concept")),
-    ("ooxml", ("AlternateContent", "Choice", "Fallback")),
-)
+FOREIGN_KINDS = tuple((kind, tuple(tags.split())) for kind, tags in (
+    ("svg", "circle g path rect svg"),
+    ("mathml", "math mfrac mi mn mo mrow msub msup mtext"),
+    ("skos", "Concept altLabel notation prefLabel"),
+    ("ooxml", "AlternateContent Choice Fallback"),
+))
 STUB_CHARS, OVERSIZED_ROWS = 100, 100
 
 

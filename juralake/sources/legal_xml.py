@@ -24,7 +24,7 @@ _STEP = "struct<ord:int,eid:string,kind:string,num:string,heading:string>"
 NODE_SCHEMA = f"doc_id string, ord int, end_ord int, parent_ord int, depth int, tag string, attrs map<string,string>, eid string, nearest_eid string, text string, text_notes string, text_no_tables string, num string, heading string, path array<{_STEP}>, is_eid_leaf boolean, component int, error string"
 _H = frozenset(HIERARCHY_TAGS)
 _SPACE = frozenset(("num", "td", "th"))
-_BREAK = frozenset(("p", "paragraph", "heading", "item", "listIntroduction", "intro", "tr", "block", "content"))
+_BREAK = frozenset("block content heading intro item listIntroduction p paragraph tr".split())
 _NOTE_BREAK = frozenset(("p", "paragraph", "heading", "item"))
 
 
