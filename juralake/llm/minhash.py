@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, binary_rows, buffers, cut_lineage, fresh, i64, mix, ragged, slices, span_hash, words
+from .common import ALNUM, U64, binary_rows, buffers, cut_lineage, fresh, i64, mix, ragged, slices, small_batches, span_hash, words
 
-NGRAM, HASHES, ROWS, THRESHOLD, MISS, BATCH = 3, 128, 4, 0.6, 0.005, 16
+NGRAM, HASHES, ROWS, THRESHOLD, MISS, BATCH = 3, 128, 4, 0.5, 0.005, 16
 
 
 def shingles(texts: pa.Array, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +92,7 @@ def _sign(ngram: int, hashes: int):
 
 def signature_table(docs: DataFrame, ngram: int = NGRAM, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key (hash of the text), f1, f2 (fingerprint of the n-gram set), sig; only texts that have words."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     return d.withColumn("row_key", F.xxhash64("text")).mapInArrow(_sign(ngram, hashes), "doc_id long, row_key long, f1 long, f2 long, sig binary")
 

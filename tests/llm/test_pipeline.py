@@ -5,6 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from juralake.llm import minhash
 from tests.llm.conftest import SCHEMA, words
 from tests.llm.test_operators import brute_groups, brute_repeats
 
@@ -38,7 +39,7 @@ def test_stages_keep_the_columns(stages):
 
 def test_near_dedup(stages):
     before, after = texts(stages["toxicity"]), texts(stages["minhash_near_dedup"])
-    drop = {i for g in brute_groups(before, 0.6) for i, _ in g[1:]}
+    drop = {i for g in brute_groups(before, minhash.THRESHOLD) for i, _ in g[1:]}
     gone = {i for i, _ in before} - {i for i, _ in after}
     assert gone <= drop and len(gone) >= 0.9 * len(drop)
 
