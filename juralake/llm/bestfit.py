@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, list_rows
+from .common import binary_rows, list_rows, small_batches
 from .tokens import VOCABULARY, encoder
 
 WINDOW, POOL_TOKENS, EOT = 2048, 4_000_000, 50256
@@ -143,6 +143,7 @@ def _pack(path: str, window: int, pool: int, pad: int, dtype):
 
 def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, pool_tokens: int = POOL_TOKENS, pad_id: int = EOT, dtype: str = "uint16") -> DataFrame:
     """Packed windows of all texts: token_ids (binary, ``window`` values of ``dtype``), n_tokens, cu_seqlens, position_ids (binary), segments."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
     return d.mapInArrow(_pack(vocabulary, window, pool_tokens, pad_id, np.dtype(dtype).type), SCHEMA)
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _pow = [np.ones(1, U64), np.ones(1, U64)]
@@ -57,6 +58,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Fewer rows in the Arrow batches that go to Python: 10,000 long texts in a batch are tens of megabytes, several times over on both sides. A setting other than Spark's default stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base modulo 2**64, and of its inverse."""
     if len(_pow[0]) < n:

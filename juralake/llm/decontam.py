@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, buffers, ragged, slices
+from .common import ALNUM, U64, buffers, ragged, slices, small_batches
 
 Q, RATE, SHARD_CHARS = 10, 0.06, 4_000_000
 _TABLE_BITS = 22
@@ -277,6 +277,7 @@ def shards(benchmark: DataFrame, q: int = Q, rate: float = RATE, shard_chars: in
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, item_id, edits, item_chars (normalised length) for each document and item that occurs in it within the budget. One scan of docs for each shard, no shuffle."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
     for index in shards(benchmark, q, rate, shard_chars):
@@ -287,6 +288,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
 
 def remove(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """docs without those that hold a benchmark item; all columns stay."""
+    small_batches(docs.sparkSession)
     for index in shards(benchmark, q, rate, shard_chars):
         docs = docs.mapInArrow(_drop(index), docs.schema)
     return docs

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 N, DIM, CLASSES, SEED, BLOCK = 3, 1024, 40, 7, 512
 
@@ -99,6 +99,7 @@ def _count(n: int, classes: int):
 
 def prototypes(docs: DataFrame, n: int = N, dim: int = DIM, classes: int = CLASSES, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their unit prototype vectors, from all rows that have a language and a text."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     rows = d.mapInArrow(_count(n, classes), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(rows["lang"].unique())
@@ -146,6 +147,7 @@ def _classify(names, protos, n, dim, classes, seed):
 def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], n: int = N, dim: int = DIM, classes: int = CLASSES, seed: int = SEED) -> DataFrame:
     """doc_id, lang_pred, cosine, margin (to the second language); a row for each row of docs, no shuffle."""
     names, protos = model
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not names:
         return d.select("doc_id", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("double").alias("margin"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, small_batches
 from .tokens import VOCABULARY, encoder
 
 WINDOW, GRAIN, DEPTH, RANK_ROWS = 2048, 16, 3, 200_000
@@ -167,6 +167,7 @@ def pack(docs: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int =
     """
     if window % grain:
         raise ValueError("window must be a multiple of grain")
+    small_batches(docs.sparkSession)
     size = window // grain
     n = (lengths if lengths is not None else token_lengths(vocabulary)(F.col("text").cast("string"))).cast("long")
     d = docs.where(F.col("text").isNotNull() if "text" in docs.columns else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, U64, buffers, fresh, i64, ragged, slices, span_hash, words
+from .common import NONSPACE, U64, buffers, fresh, i64, ragged, slices, small_batches, span_hash, words
 
 LENGTH, KMER, WINDOW = 50, 5, 40
 _POS = 22
@@ -183,6 +183,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, window
     """doc_id, row_key (hash of the text), repeats and cuts (arrays of word spans [first_word, end_word)) of every document that holds a repeated passage."""
     if window + kmer - 1 > length:
         raise ValueError("window + kmer - 1 must not exceed length: else a passage might hold no kept suffix")
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("row_key", F.xxhash64("text"))
     s = d.mapInArrow(_emit(length, kmer, window), "prefix long, doc_id long, row_key long, lead int, hashes binary")
     from pyspark.sql import Window

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, buffers, list_rows, slices, span_hash, words
+from .common import ALNUM, U64, buffers, list_rows, slices, small_batches, span_hash, words
 from .minhash import shingles, signatures
 
 BITS, MAX_TRAIN, MIN_G2, THRESHOLD, SENTENCE, STEM = 21, 4000, 20.0, 0.5, 0.5, 4
@@ -181,6 +181,7 @@ _SCHEMA = "p_toxic double, is_toxic boolean, sentences array<struct<sentence:int
 
 def score(docs: DataFrame, model, bits: int = BITS, threshold: float = THRESHOLD, sentence: float = SENTENCE) -> DataFrame:
     """doc_id, p_toxic, is_toxic, and of toxic documents the offending sentences (number, byte span in the lower-cased text, score). One row for each row of docs; no shuffle."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(_score(model, bits, threshold, sentence), f"doc_id long, {_SCHEMA}")
 
@@ -202,4 +203,5 @@ def _keep(model, bits: int, threshold: float):
 
 def reject(docs: DataFrame, model, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't toxic, with all their columns, in one pass without a shuffle."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_keep(model, bits, threshold), docs.schema)
