@@ -4,7 +4,10 @@ A document is a bag of sentences. A sentence's score is a logistic function of
 its words' weights; a leaky noisy-or combines the sentences to the document's
 probability, and the weights are trained from document labels alone. The leak
 takes up labels that no sentence explains, so the bias needn't; it is left out
-when documents are judged. The same weights then point at the sentences.
+when documents are judged. So is the bias's own share of every sentence, and a
+document is judged by its strongest passage of at most ``PASSAGE`` sentences:
+length alone, or faint words spread over a long clean text, make nothing toxic.
+The same weights then point at the sentences.
 
 Training uses at most ``max_train`` labelled documents (those with the least
 hash of their id, repeated texts once); scoring covers every document and every
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, U64, buffers, list_rows, slices, small_batches, span_hash, words
 from .minhash import shingles, signatures
 
-BITS, MAX_TRAIN, MIN_G2, THRESHOLD, SENTENCE, STEM = 21, 4000, 20.0, 0.5, 0.5, 4
+BITS, MAX_TRAIN, MIN_G2, THRESHOLD, SENTENCE, STEM, PASSAGE = 21, 4000, 20.0, 0.5, 0.5, 4, 256
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
 
@@ -54,6 +57,16 @@ def _log_none(score: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     return -np.bincount(owner, np.logaddexp(0, score), docs)
 
 
+def _passage(evidence: np.ndarray, owner: np.ndarray, docs: int, length: int = PASSAGE) -> np.ndarray:
+    """Per document, the greatest sum of evidence over ``length`` consecutive sentences."""
+    total = np.concatenate([[0.0], np.cumsum(evidence)])
+    end = np.cumsum(np.bincount(owner, minlength=docs))
+    here = total[np.minimum(np.arange(len(owner)) + length, end[owner])] - total[:-1]
+    most = np.zeros(docs)
+    np.maximum.at(most, owner, here)
+    return most
+
+
 def _g2(k: np.ndarray, n: np.ndarray, bad: int, docs: int) -> np.ndarray:
     """Log-likelihood ratio of the 2 x 2 tables word (k of n documents are toxic) by label (bad of docs)."""
     cells = ((k, n, bad), (n - k, n, docs - bad), (bad - k, docs - n, bad), (docs - n - bad + k, docs - n, docs - bad))
@@ -153,7 +166,8 @@ def judge(texts: pa.Array, table: np.ndarray, bias: float, bits: int) -> tuple[n
     """Probability of each document; of each sentence its document, probability and byte span."""
     slot, sentence, owner, lo, hi = features(texts, bits)
     score = np.bincount(sentence, table[slot].sum(axis=1), len(owner)) + bias
-    p = -np.expm1(_log_none(score, owner, len(texts)))
+    evidence = np.maximum(np.logaddexp(0, score) - np.logaddexp(0, bias), 0)
+    p = -np.expm1(-_passage(evidence, owner, len(texts)))
     return p, owner, 1 / (1 + np.exp(-np.clip(score, -60, 60))), lo, hi
 
 

@@ -242,6 +242,37 @@ def test_toxicity_messy(spark, messy, empty):
     assert toxicity.score(empty, m).count() == 0 == toxicity.reject(empty, toxicity.fit(empty, none)).count()
 
 
+def test_toxicity_length_alone_is_clean(spark):
+    rows = toxic_rows(500)
+    model = toxicity.fit(spark.createDataFrame([r[:4] + (None,) for r in rows], SCHEMA), spark.createDataFrame([(r[0], 1, r[4]) for r in rows], "doc_id long, quality int, toxic int"))
+    rng = random.Random(9)
+    clean = [words(rng, 10, 300) for _ in range(20_000)]
+    bad = clean.copy()
+    bad[12_345] += " vile"
+    d = spark.createDataFrame([(1, ". ".join(clean), "en", "s", None), (2, ". ".join(bad), "en", "s", None)], SCHEMA)
+    got = {r["doc_id"]: r for r in toxicity.score(d, model).collect()}
+    assert not got[1]["is_toxic"] and got[2]["is_toxic"] and [s["sentence"] for s in got[2]["sentences"]] == [12_345]
+    assert [r["doc_id"] for r in toxicity.reject(d, model).collect()] == [1]
+
+
+@pytest.mark.parametrize("word,bias", [(0.0, -6.0), (2.0, -8.5)])
+def test_toxicity_bias_and_faint_words_do_not_add_up(word, bias):
+    slot = toxicity.features(pa.array(["faint"]))[0].ravel()
+    table = np.zeros(1 << toxicity.BITS)
+    table[slot[0]] = word
+    texts = pa.array(["faint. " * 20_000, "", None, "faint. faint"])
+    assert (toxicity.judge(texts, table, bias, toxicity.BITS)[0] < 0.5).all()
+
+
+def test_passage_brute_force():
+    rng = np.random.default_rng(3)
+    n = np.array([0, 5, 1, 0, 12, 3, 0])
+    owner, e = np.repeat(np.arange(7), n), rng.random(21)
+    want = [max((e[owner == d][i : i + 4].sum() for i in range(k)), default=0) for d, k in enumerate(n)]
+    assert np.allclose(toxicity._passage(e, owner, 7, 4), want)
+    assert (toxicity._passage(np.zeros(0), np.zeros(0, int), 2) == 0).all()
+
+
 # --- 9 language
 
 
