@@ -312,11 +312,11 @@ def provenance_id(meta: DataFrame) -> DataFrame:
     return meta.select("doc_id", F.coalesce(work_eli_path(F.col("eli_work")), F.col("eli_work")).alias("eli"))
 
 
-def regex_search(texts: DataFrame, pattern: str, text_col: str = "text", max_pattern: int = 200, max_chars: int = 1_000_000) -> DataFrame:
-    """texts with ``matches``. Java's engine backtracks, so nested repeats and back references are refused, patterns are short, and texts of more than ``max_chars`` characters give null instead of running on."""
+def regex_search(texts: DataFrame, pattern: str, text_col: str = "text", max_pattern: int = 200) -> DataFrame:
+    """texts with ``matches``. Java's engine backtracks, so nested repeats and back references are refused and patterns are short. Texts of every length are searched; a null text gives null."""
     import re
 
     if len(pattern) > max_pattern or re.search(r"[+*}]\)?[+*{]|\([^)]*[+*][^)]*\)[+*{]|\\[1-9]|\(\?[=!<]", pattern):
         raise ValueError("pattern not allowed")
-    return texts.withColumn("matches", F.when(F.length(text_col) <= max_chars, F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))))
+    return texts.withColumn("matches", F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)))
 
