@@ -547,6 +547,14 @@ def v_09_semantic_top_k(t):
     return d.select("query_id", "item_id", "rank")
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b)
+SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def v_09_semantic_top_k_all(t):
+    e = t.raw("embeddings")
+    d = service.top_k_similar(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")))
+    return d.select("query_id", "item_id", "rank")
+
+
 @query("SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ing') AS matches FROM documents")
 def v_10_regex_search(t):
     return documents.regex_search(t.raw("documents"), "[A-Z][a-z]+ing").select("doc_id", "matches")

@@ -134,3 +134,11 @@ def test_key_parts(part):
 def test_id_functions(spark):
     d = spark.createDataFrame([("art_14_a",), ("lbl_a/x_b",), ("art_2_b/para_1",), ("art_1_A",), ("x_a\n",)], "e string")
     assert [r[0] for r in rows(d.select(ids.normalize_eid(F.col("e"))))] == ["art_14a", "lbla/xb", "art_2b/para_1", "art_1_A", "x_a\n"]
+
+
+def test_top_k_asks_for_every_vector(spark):
+    from juralake.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["v_09_semantic_top_k_all"](spark, sf).groupBy("query_id").count().collect()
+    assert len(got) == spark.read.parquet(f"{sf}/embeddings.parquet").count() and {r["count"] for r in got} == {5}
