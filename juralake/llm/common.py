@@ -8,6 +8,8 @@ Python loop over texts or words. Callers feed slices of a few megabytes
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,27 +19,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
-BATCH_ROWS = 1000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _pow = [np.ones(1, U64), np.ones(1, U64)]
 
-#: Bytes that make up words: ASCII letters and digits, and every byte of a non-ASCII character.
+#: Bytes that make up words: ASCII letters and digits, and every byte of a non-ASCII character (but see ``word_bytes``).
 ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 #: Bytes that make up white-space-separated words.
 NONSPACE = np.array([b not in b" \t\n\r\v\f" for b in range(256)])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder in ``spark.checkpoint.dir``; only where none is set (tests) takes a folder of its own."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which a cluster shares. Only where none is set and all runs on this machine (tests) a folder of its own; on a cluster without one this is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="juralake-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -46,6 +50,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Scratch:
+    """Tables in the shared folder that cut the lineage of an operator's steps and go when it is done.
+
+    ``keep`` writes a table and reads it back; ``free`` removes tables that no later step reads; leaving the block removes the rest. What the operator returns must not read them: it is a ``cut_lineage``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables = spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove_folder(self.spark, self.root)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.root}/{self.tables}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove_folder(self.spark, t.scratch_path)
+
+
+def kind(df: DataFrame, column: str) -> str:
+    """The type of a column as SQL: ids keep theirs."""
+    return df.schema[column].dataType.simpleString()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}
@@ -58,13 +100,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Fewer rows in the Arrow batches that go to Python: 10,000 long texts in a batch are tens of megabytes, several times over on both sides. A setting other than Spark's default stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base modulo 2**64, and of its inverse."""
     if len(_pow[0]) < n:
@@ -106,13 +141,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         lo = hi
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words: ASCII letters and digits, and characters beyond ASCII other than signs (U+0080 to U+00BF, general punctuation U+2000 to U+207F, CJK punctuation U+3000 to U+303F)."""
+    inside = ALNUM[data]
+    if len(data) > 2 and data.max() >= 0xC2:
+        two = np.flatnonzero(data == 0xC2)
+        a, b = data[:-2], data[1:-1]
+        three = np.flatnonzero(((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80)))
+        inside[two] = False
+        inside[np.minimum(two + 1, len(data) - 1)] = False
+        for k in range(3):
+            inside[three + k] = False
+    return inside
+
+
 def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each maximal run of word bytes; no run crosses from one text to the next."""
     n = len(data)
     if not n:
         e = np.zeros(0, np.int64)
         return e, e, e
-    inside = table[data]
+    inside = word_bytes(data) if table is ALNUM else table[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     edge = off[1:-1]

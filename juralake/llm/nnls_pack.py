@@ -25,10 +25,11 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small_batches
+from .common import cut_lineage, kind
 from .tokens import VOCABULARY, encoder
 
 WINDOW, GRAIN, DEPTH, RANK_ROWS = 2048, 16, 3, 200_000
@@ -149,28 +150,31 @@ def placement(plans: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bin", "rank_from", "rank_to", "first_pack", "per_pack", "slot"])
 
 
-def token_lengths(vocabulary: str = VOCABULARY):
-    """Pandas UDF: tokens of each text (0 for null)."""
-
-    @F.pandas_udf("int")
-    def count(t: pd.Series) -> pd.Series:
+def _count(vocabulary: str):
+    def run(batches):
         enc = encoder(vocabulary)
-        return pd.Series([len(enc.encode_ordinary(x)) if x else 0 for x in t], dtype="int32")
+        for b in batches:
+            n = [len(enc.encode_ordinary(t.as_py())) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n"])
+
+    return run
+
 
-    return count
+def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n: tokens of each text that has any. One pass of Python over the texts; only ids and counts come back."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''")
+    return d.mapInArrow(_count(vocabulary), f"doc_id {kind(docs, id_col)}, n long")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, vocabulary: str = VOCABULARY, lengths=None, rank_rows: int = RANK_ROWS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH, vocabulary: str = VOCABULARY, lengths=None, rank_rows: int = RANK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, offset, length, pack_id, slot: the place of every piece of every text.
 
     lengths: a Column of token counts to use instead of tokenising. window must be a multiple of grain.
     """
     if window % grain:
         raise ValueError("window must be a multiple of grain")
-    small_batches(docs.sparkSession)
     size = window // grain
-    n = (lengths if lengths is not None else token_lengths(vocabulary)(F.col("text").cast("string"))).cast("long")
-    d = docs.where(F.col("text").isNotNull() if "text" in docs.columns else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
+    d = token_lengths(docs, vocabulary, id_col, text_col) if lengths is None else docs.select(F.col(id_col).alias("doc_id"), lengths.cast("long").alias("n"))
     # tokenised once: the counts are a few bytes a document
     d = cut_lineage(d.where("n > 0"))
     piece = d.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / window).cast("int"))).alias("piece", "p"))
