@@ -7,57 +7,54 @@ goes to the language whose prototype has the greatest cosine with it.
 
 Bundling is linear, so prototypes come from n-gram counts over all labelled
 documents: executors count, and what comes to the driver is bounded by
-languages x letters**n, not by the corpus. Letters are lower-case; characters
-from the Latin ranges have classes of their own, others share hashed classes;
-everything that isn't a letter is a boundary, and runs of boundaries are one.
-
-Edge cases: null, empty and letterless texts get a null language and cosine.
-Rows whose label is null don't train but are classified; an empty table gives an
-empty result. Ties go to the language that sorts first. Repeated rows count as
-often as they occur.
+languages x letters**n, not by the corpus. Letters are what Unicode calls
+letters, in lower case: a to z have a class each, all others share the
+``CLASSES`` - 27 that remain (by code point); everything else (digits, signs,
+quotes and stops of any script) is a boundary, and runs of boundaries are one.
+
+Edge cases: null, empty and letterless texts get a null language and cosine, as
+all do where no row has a label. Rows whose label is null don't train but are
+classified; an empty table gives an empty result. Ties go to the language that
+sorts first. Repeated rows count as often as they occur. Texts are read whole,
+however long. Ids keep their type; columns other than the three named ones are
+left alone, whatever their names.
 """
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kind, slices
 
 N, DIM, CLASSES, SEED, BLOCK = 3, 1024, 40, 7, 512
 
 
+@lru_cache(maxsize=4)
 def letter_classes(classes: int = CLASSES) -> np.ndarray:
-    """Class of each code point below 0x250: 0 for non-letters, a..z 1..26, other letters the rest by turns; upper and lower case agree."""
-    out = np.zeros(0x250, np.int64)
-    other = 0
-    for cp in range(0x250):
+    """Class of every code point: 0 for what isn't a letter, a..z 1..26, other letters the rest by turns; upper and lower case agree."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for cp in range(len(out)):
         ch = chr(cp)
-        if ch.isalpha() and ch == ch.lower():
-            if "a" <= ch <= "z":
-                out[cp] = cp - 96
-            else:
-                out[cp] = 27 + other % (classes - 27)
-                other += 1
+        if ch.isalpha():
+            low = ord(ch.lower()[0])
+            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (classes - 27)
     return out
 
 
-_CLASS = letter_classes()
-
-
 def codes(texts: pa.Array, n: int = N, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """n-gram codes of all texts and the text of each."""
     lower = pc.utf8_lower(pc.fill_null(texts, "")).to_pylist()
     cp = np.frombuffer("\n".join(lower).encode("utf-32-le"), np.uint32)
     size = np.array([len(t) for t in lower])
     doc = np.repeat(np.arange(len(lower)), size + 1)[: len(cp)]
-    cls = np.where(cp < 0x250, _CLASS[np.minimum(cp, 0x24F)], 0)
-    far = cp >= 0x250
-    if far.any():
-        cls[far] = 27 + cp[far] % (classes - 27)
+    cls = letter_classes(classes)[cp].astype(np.int64)
     keep = np.ones(len(cls), bool)
     keep[1:] = (cls[1:] != 0) | (cls[:-1] != 0)
     cls, doc = cls[keep], doc[keep]
@@ -97,9 +94,9 @@ def _count(n: int, classes: int):
     return run
 
 
-def prototypes(docs: DataFrame, n: int = N, dim: int = DIM, classes: int = CLASSES, seed: int = SEED) -> tuple[list[str], np.ndarray]:
+def prototypes(docs: DataFrame, n: int = N, dim: int = DIM, classes: int = CLASSES, seed: int = SEED, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in order, and their unit prototype vectors, from all rows that have a language and a text."""
-    d = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     rows = d.mapInArrow(_count(n, classes), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(rows["lang"].unique())
     vectors = gram_vectors(n, dim, classes, seed)
@@ -143,10 +140,10 @@ def _classify(names, protos, n, dim, classes, seed):
     return run
 
 
-def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], n: int = N, dim: int = DIM, classes: int = CLASSES, seed: int = SEED) -> DataFrame:
+def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], n: int = N, dim: int = DIM, classes: int = CLASSES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, cosine, margin (to the second language); a row for each row of docs, no shuffle."""
     names, protos = model
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not names:
         return d.select("doc_id", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("double").alias("margin"))
-    return d.mapInArrow(_classify(names, protos, n, dim, classes, seed), "doc_id long, lang_pred string, cosine double, margin double")
+    return d.mapInArrow(_classify(names, protos, n, dim, classes, seed), f"doc_id {kind(docs, id_col)}, lang_pred string, cosine double, margin double")

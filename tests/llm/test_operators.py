@@ -24,7 +24,7 @@ def test_matches_sql(spark, name):
 
 
 def grams(t, n=3):
-    w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    w = re.findall(r"[0-9a-z\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+", (t or "").lower())
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
@@ -168,21 +168,49 @@ def edit(a, b):
     return min(row)
 
 
-def test_decontam_brute_force():
+def norm(t):
+    return " " + re.sub(r"[^a-z0-9\u00c0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+", " ", t.lower()).strip() + " "
+
+
+def brute_decontam(texts, items, rate):
+    """The definition: each item with a space on each side, anywhere in the text with at most rate * length edits."""
+    out = set()
+    for d, t in enumerate(texts):
+        for k, i in enumerate(items):
+            m = len(norm(i).strip())
+            if m and edit(norm(i), norm(t)) <= int(m * rate):
+                out.add((d, k))
+    return out
+
+
+@pytest.mark.parametrize("lengths,rate,hits", [((90, 130, 200, 61, 12), 0.08, 1 << 20), ((90, 130, 200, 61, 12), 0.08, 50), (tuple(range(1, 41)), 0.06, 1 << 20), (tuple(range(1, 41)), 0.2, 30)])
+def test_decontam_brute_force(lengths, rate, hits):
     rng = random.Random(6)
-    items = ["".join(rng.choice("abcd ") for _ in range(n)).strip() for n in (90, 130, 200, 61, 12)]
-    index = decontam.build_index(list(range(len(items))), items, 6, 0.08)
-    norm = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip()
+    items = ["".join(rng.choice("abcd ") for _ in range(n)).strip() for n in lengths]
+    index = decontam.build_index(list(range(len(items))), items, 10, rate)
     texts = []
-    for _ in range(60):
-        x = list(rng.choice(items))
-        for _ in range(rng.randrange(0, 14)):
-            k = rng.randrange(len(x))
-            x[k : k + 1] = rng.choice([[], [rng.choice("abcd")], [x[k], rng.choice("abcd")]])
-        texts.append(" ".join(["zz yy", "".join(x).upper() if rng.random() < 0.3 else "".join(x), "qq"]))
-    got = {(d, i) for d, i, *_ in decontam.find(pa.array(texts), index)}
-    want = {(d, k) for d, t in enumerate(texts) for k, i in enumerate(index.ids) if edit(index.items[k].decode(), norm(t)) <= index.edits[k]}
-    assert got == want and len(want) > 20
+    for n in range(120):
+        x = list(items[n % len(items)])
+        for _ in range(rng.randrange(0, 1 + max(1, int(1.5 * len(x) * rate))) if x else 0):
+            k = rng.randrange(len(x)) if x else 0
+            x[k : k + 1] = rng.choice([[], [rng.choice("abcd")], [*x[k : k + 1], rng.choice("abcd")]])
+        inner = "".join(x).upper() if rng.random() < 0.3 else "".join(x)
+        texts.append(rng.choice([f"zz yy {inner} qq", inner, f"zz{inner}yy", f"{inner}, {inner}"]))
+    got = {(d, i) for d, i, _ in decontam.find(pa.array(texts), index, hits)}
+    assert got == brute_decontam(texts, items, rate) and len(got) > 20
+
+
+def test_decontam_one_rule():
+    """Whole words without edits, whatever the length; edits from 17 bytes on."""
+    def hit(item, text):
+        return bool(decontam.find(pa.array([text]), decontam.build_index([0], [item])))
+
+    assert not hit("catalogue", "xcataloguex") and not hit("catalogues", "xcataloguesx") and hit("catalogues", "(catalogues)") and hit("a", "a")
+    assert hit("abcdefghijklmnopq", "abcdefghXjklmnopq") and not hit("abcdefghijklmnop", "abcdefghXjklmnop")
+    assert hit("don\u2019t do that", "\u201cdon't do that\u201d")
+    same = ["what is the sum of %d and %d when they are added" % (i, j) for i in range(40) for j in range(40)]  # items with much text in common
+    index = decontam.build_index(list(range(1600)), same, rate=0.01)
+    assert {i for _, i, _ in decontam.find(pa.array([same[77] + ". " + same[1599]]), index, 500)} == {77, 1599}
 
 
 def test_banded_agrees():
@@ -191,8 +219,7 @@ def test_banded_agrees():
         a = bytes(rng.choice(b"ab") for _ in range(20))
         b = bytes(rng.choice(b"ab") for _ in range(30))
         e = edit(a.decode(), b.decode())
-        r = decontam.banded(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), -20, 30, 6)
-        assert (r[0] if r else None) == (e if e <= 6 else None)
+        assert decontam.banded(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), -20, 30, 6) == (e if e <= 6 else None)
 
 
 def test_decontam_messy(spark, messy, empty, messy_rows):
@@ -286,7 +313,7 @@ def test_language_held_out(spark):
 def test_cosine_is_the_definition():
     """Bundled counts equal a sum of bound vectors, letter by letter."""
     rng = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.CLASSES, 64))
-    cls = lambda c: langid._CLASS[ord(c)] if c.isalpha() else 0
+    cls = lambda c: int(langid.letter_classes()[ord(c)])
     t = "ab cá"
     k = [cls(c) for c in t]
     want = sum(np.roll(rng[k[i]], 2).astype(int) * np.roll(rng[k[i + 1]], 1) * rng[k[i + 2]] for i in range(len(k) - 2))
@@ -295,6 +322,31 @@ def test_cosine_is_the_definition():
     assert (v[code].astype(int).sum(axis=0) == want).all()
 
 
+def test_classify_brute_force(spark):
+    """Predictions, cosines and margins from sums of rotated products, letter by letter."""
+    rng = random.Random(14)
+    langs = {"aa": "abcdeé", "bb": "defghß", "cc": "kλμνx"}
+    rows = [(i, ". ".join("".join(rng.choice(langs[g]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 30))) + " \u201c\u2026\u3002 7", g) for i, g in enumerate(list(langs) * 12)]
+    letters = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.CLASSES, langid.DIM)).astype(int)
+
+    def bundle(t):
+        k = [int(langid.letter_classes()[ord(c)]) for c in t.lower()]
+        k = [c for j, c in enumerate(k) if c or j == 0 or k[j - 1]]
+        return sum((np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(k, k[1:], k[2:])), np.zeros(langid.DIM, int))
+
+    assert not bundle("\u201c\u2026\u3002 77 \u2014").any()
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    proto = [unit(sum(bundle(t) for _, t, g in rows if g == n)) for n in sorted(langs)]
+    d = spark.createDataFrame([(i, t, g, None, None) for i, t, g in rows], SCHEMA).repartition(3)
+    for r in langid.classify(d, langid.prototypes(d)).collect():
+        v = bundle(rows[r["doc_id"]][1])
+        c = sorted(((float(unit(v) @ p), -k) for k, p in enumerate(proto)), reverse=True)
+        if v.any():
+            assert r["lang_pred"] == sorted(langs)[-c[0][1]] and abs(r["cosine"] - c[0][0]) < 1e-4 and abs(r["margin"] - (c[0][0] - c[1][0])) < 1e-4
+        else:
+            assert r["lang_pred"] is None
+
+
 def test_language_messy(messy, empty):
     r = {x["doc_id"]: x for x in langid.classify(messy, langid.prototypes(messy)).collect()}
     assert r[4]["lang_pred"] is None and r[6]["cosine"] is None and r[12]["lang_pred"] == "es" and r[10]["lang_pred"] is not None

@@ -1,13 +1,11 @@
 """The pipeline: contract, stage by stage against brute force, and all of it."""
 
-import re
-
 import pytest
 
 import corpus_pipeline
 from juralake.llm import minhash
 from tests.llm.conftest import SCHEMA, words
-from tests.llm.test_operators import brute_groups, brute_repeats
+from tests.llm.test_operators import brute_groups, brute_repeats, norm
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,7 +54,6 @@ def test_repeats_are_cut(stages):
 
 
 def test_no_benchmark_left(spark, stages):
-    norm = lambda t: re.sub(r"[^0-9a-z\x80-\U0010ffff]+", " ", t.lower()).strip()
     items = [norm(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = dict(texts(stages["suffix_array_dedup"])), dict(texts(stages["benchmark_decontamination"]))
     dirty = {i for i, t in before.items() if any(x in norm(t) for x in items)}
