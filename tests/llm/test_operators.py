@@ -518,20 +518,115 @@ def test_template(spark):
     assert html_template.extract_slots(d.where("false")).count() == 0
 
 
-def test_template_matches_brute_force(spark):
-    """Classes from sums of hashes equal classes from the full occurrence vectors."""
-    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
-    rows = d.collect()
+def brute_template(pages, share=0.9, least=4):
+    """Classes, conflicts, gaps and nest of one host's token lists, from the definition: every page, every pair, every occurrence."""
+    if len(pages) < least:
+        return None
+    vectors = {t: tuple(p.count(t) for p in pages) for t in {t for p in pages for t in p}}
+    vectors = {t: v for t, v in vectors.items() if sum(n > 0 for n in v) >= share * len(pages)}
+    place = {t: round(sum(p.index(t) / len(p) for p in pages if t in p) / sum(n > 0 for n in vectors[t]), 6) for t in vectors}
+    groups = {}
+    for t, v in vectors.items():
+        groups.setdefault(v, []).append((place[t], t))
+    groups = sorted((sorted(g) for g in groups.values() if len(g) > 1), key=lambda g: (g[0], [t for _, t in g]))
+    classes = []
+    for g in groups:
+        c = [t for _, t in g]
+
+        def wrong(a, b):
+            return any(x and "".join(x) != "ab" * (len(x) // 2) for x in (["a" if t == a else "b" for t in p if t in (a, b)] for p in pages))
+
+        bad = {(a, b) for a, b in itertools.combinations(c, 2) if wrong(a, b)}
+        while bad:
+            n = {t: sum(t in e for e in bad) for t in c}
+            t = max(c, key=lambda t: (n[t], c.index(t)))
+            c = [x for x in c if x != t]
+            bad = {e for e in bad if t not in e}
+        if len(c) > 1:
+            classes.append(c)
+
+    def gap(c, d):
+        seen = set()
+        for p in pages:
+            last = 0
+            for t in p:
+                if t in c:
+                    last = c.index(t) + 1
+                elif t in d:
+                    seen.add(last)
+        return seen.pop() if len(seen) == 1 else None
+
+    kept = []
+    for c in sorted(classes, key=lambda c: -len(c)):
+        if all(gap(k, c) is not None or gap(c, k) is not None for k in kept):
+            kept.append(c)
+    inside = lambda c, k: c is not k and gap(k, c) not in (None, 0, len(k))
+    out = []
+    for c in kept:
+        around = [k for k in kept if inside(c, k)]
+        up = max(around, key=lambda k: (sum(inside(k, j) for j in around), -kept.index(k)), default=None)
+        out.append({"tokens": c, "parent": -1 if up is None else kept.index(up), "gap": 0 if up is None else gap(up, c)})
+    return out
+
+
+def template_rows(kind):
+    rng = random.Random(13)
+    if kind == "swapped":  # no class: half of the pages have the other order
+        return [(i, "https://h.org/", "x y z" if i % 2 else "z y x") for i in range(24)]
+    if kind == "rare":  # on 90 % of the pages, but none of the last ones
+        return [(i, "https://h.org/", "<p>a b</p>" + ("c d" if i < 36 else "")) for i in range(40)]
+    if kind == "copies":  # rows that repeat, and clashing columns
+        return [(i % 3, "https://h.org/", ["<i>a b</i> u <b>v</b>", "<i>b a</i> u <b>v</b>", "<i>a b</i> w <b>v</b>"][i % 3]) for i in range(90)]
+    out = []
+    for i in range(150):
+        host = rng.choice("aab")
+        items = "".join(f"<li><a>{words(rng, 1)}</a> <em>by</em> {words(rng, rng.randrange(3))}</li>" for _ in range(rng.randrange(1, 5)))
+        ads = rng.sample(["<q>one</q>", "<u>two</u>", "<s>three</s>"], 3)
+        out.append((i, f"http://{host}.net/{i}", f"<html><body>{ads[0]}<nav><ul>{items}</ul>{ads[1]}</nav><h1>{i}</h1>{ads[2]}<p>{words(rng, 8, 50)}</p>" + ("<hr>" if rng.random() < 0.95 else "") + "<footer>all rights held</footer></body></html>"))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["swapped", "rare", "copies", "mixed", "sf0.001"])
+def test_template_matches_brute_force(spark, kind):
+    """The same template, in both directions, whatever the chunk."""
+    import json
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] if kind == "sf0.001" else template_rows(kind)
     hosts = {}
-    for r in rows:
-        hosts.setdefault(re.search("://([^/?#:]+)", r["url"])[1].lower(), []).append(html_template.tokens(r["html"])[0])
+    for _, url, h in rows:
+        hosts.setdefault(re.search("://([^/?#:]+)", url)[1].lower(), []).append(html_template.tokens(h)[0])
+    want = {k: brute_template(v) for k, v in hosts.items()}
+    want = {k: v for k, v in want.items() if v}
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for chunk in (8, 64, 512):
+        got = {r["host"]: json.loads(r["template"]) for r in html_template.templates(d, chunk=chunk).collect()}
+        assert {k: v for k, v in got.items() if v} == want, chunk
+
+
+def test_template_of_clashing_columns_and_string_ids(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(f"p{i % 10}", "https://h.org/", f"<p>n{i % 10}</p><b>end</b>") for i in range(20)], "page_id string, url string, html string")
+    d = d.select("*", *(F.lit("x").alias(c) for c in ("host", "key", "salt", "row", "classes", "template", "token", "pages")))
+    got = html_template.extract_slots(d, chunk=8).collect()
+    assert len(got) == 20 and all([s["text"] for s in r["slots"]] == ["n" + r["page_id"][1:]] and r["host"] == "h.org" for r in got)
+
+
+def test_slots_by_hand():
     import json
 
-    for r in html_template.templates(d).collect():
-        pages = hosts[r["host"]]
-        for c in json.loads(r["template"]):
-            vec = {tuple(p.count(t) for p in pages) for t in c}
-            assert len(vec) == 1
-            for p in pages:  # tokens keep their order, round after round
-                seq = [c.index(x) for x in p if x in c]
-                assert seq == list(range(len(c))) * (len(seq) // len(c))
+    t = json.dumps([{"tokens": ["<ul", "</ul"], "parent": -1, "gap": 0}, {"tokens": ["<li", "</li"], "parent": 0, "gap": 1}])
+    assert html_template.extract("x &amp; y<ul>a<li>b <i>c</i></li><li>\nd<p>e</li></ul> z", t) == [(None, "<ul", 0, "x & y"), ("<ul", "<li", 0, "a"), ("<li", "</li", 1, "b c"), ("<li", "</li", 1, "d\ne"), ("</ul", None, 0, "z")]
+
+
+@pytest.mark.parametrize("piece", ["<!-- ", "<script ", "<style>a</style", "<a <b", "<", "</script "])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    begin = time.perf_counter()
+    names, raw = html_template.tokens(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - begin < 5 and len(names) == len(raw) and sum(map(len, raw)) > 500_000
+
+
+def test_tokens_of_marked_sections():
+    assert html_template.tokens("<p>a<!-- x <b> -->b<script>x<y</script >c<style>z")[0] == ["<p", "<p\x1fa", "<!--", "<p\x1fb", "<script", "<script\x1fc", "<style", "<style\x1fz"]
