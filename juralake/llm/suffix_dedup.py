@@ -225,14 +225,17 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     i, k, cuts, new_text = fresh(docs, "cut_id", "cut_key", "cut_spans", "cut_text")
     spans = repeat_spans(docs, id_col=id_col, text_col=text_col, **params).where("size(cuts) > 0").select(F.col("doc_id").alias(i), F.col("row_key").alias(k), F.col("cuts").alias(cuts))
 
-    @F.pandas_udf("string")
     def shorten(t: pd.Series, s: pd.Series) -> pd.Series:
         return _cut(t, s)
 
+    # "nondeterministic" keeps the optimiser from running it once for the filter and once for the result
+    shorten = F.pandas_udf(shorten, "string").asNondeterministic()
     text = F.col(text_col).cast("string")
     joined = docs.join(spans, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(k)), "left")
     whole = F.col(cuts).isNull()
-    short = joined.withColumn(new_text, F.when(whole, text).otherwise(shorten(text, F.col(cuts))))
+    # texts without cuts don't go to Python: for them the function gets nulls
+    short = joined.withColumn(new_text, shorten(F.when(~whole, text), F.col(cuts)))
+    short = short.withColumn(new_text, F.when(whole, text).otherwise(F.col(new_text)))
     short = short.where(whole | (F.regexp_replace(new_text, r"\s+", "") != ""))
     new = {text_col: F.col(new_text)}
     if chars_col and chars_col in docs.columns:
