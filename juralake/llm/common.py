@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, BROADCAST_BYTES = 1 << 20, 32 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _pow = [np.ones(1, U64), np.ones(1, U64)]
@@ -83,6 +84,12 @@ class Scratch:
             remove_folder(self.spark, t.scratch_path)
 
 
+def small_or_shuffled(df: DataFrame, width, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table marked for broadcast if its bytes (``width`` a row: a number or a Column) are within the limit; beyond it the join shuffles, and adaptive execution splits hot keys."""
+    total = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def kind(df: DataFrame, column: str) -> str:
     """The type of a column as SQL: ids keep theirs."""
     return df.schema[column].dataType.simpleString()

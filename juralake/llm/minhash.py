@@ -8,15 +8,27 @@ similarity reaches the threshold falls below the chosen miss probability. What
 survives is verified exactly on the full sets. Groups are the connected
 components of the verified pairs.
 
+Rows a band follow from ``hashes``, ``threshold`` and ``miss``: as many as still
+let a pair at the threshold share a band with probability 1 - ``miss`` at least.
+So each of the two steps that can lose a pair, banding and pruning, loses one at
+the threshold with probability ``miss`` at most, and more alike ones less often.
+
 Instead of all pairs of a bucket, each member is first compared with the
 bucket's least member, and after that only members that still lie in different
 components are compared with each other, all of them. Components are the same
-as with all pairs, and a bucket of n near copies costs n comparisons.
+as with all pairs, and a bucket of n near copies costs n comparisons. The second
+round is dealt in blocks of ``BLOCK`` members: a task compares two blocks, however
+many members their bucket has, and nothing is left out. A bucket of n texts that
+are unlike each other costs n * n / 2 comparisons of 16 hashes.
 
 Edge cases: a null id, and a null or wordless text, takes no part and is in no
-group. A text of fewer words than the n-gram is one n-gram. Repeated rows (same
-id and text) count as one document here; ``deduplicate`` keeps one of them.
-Rows with one id and different texts are documents of their own.
+group; an empty table gives no rows. A text of fewer words than the n-gram is one
+n-gram; texts are compared whole, however long. Repeated rows (same id and text)
+count as one document here; ``deduplicate`` keeps one of them, the first by all
+its columns. Rows with one id and different texts are documents of their own.
+Ties: of a group the document with the least id stays (then the least hash of the
+text). Ids keep their type and order; columns other than id and text are left
+alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, binary_rows, buffers, cut_lineage, fresh, i64, mix, ragged, slices, span_hash, words
+from .common import ALNUM, U64, Scratch, binary_rows, buffers, cut_lineage, fresh, i64, kind, mix, ragged, slices, small_or_shuffled, span_hash, words
 
-NGRAM, HASHES, ROWS, THRESHOLD, MISS, BATCH = 3, 128, 4, 0.5, 0.005, 16
+NGRAM, HASHES, THRESHOLD, MISS, BATCH, BLOCK, PAIRS = 3, 128, 0.5, 0.005, 16, 1024, 1 << 18
 
 
 def shingles(texts: pa.Array, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +104,16 @@ def _sign(ngram: int, hashes: int):
 
 def signature_table(docs: DataFrame, ngram: int = NGRAM, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key (hash of the text), f1, f2 (fingerprint of the n-gram set), sig; only texts that have words."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return d.withColumn("row_key", F.xxhash64("text")).mapInArrow(_sign(ngram, hashes), "doc_id long, row_key long, f1 long, f2 long, sig binary")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return d.withColumn("row_key", F.xxhash64("text")).mapInArrow(_sign(ngram, hashes), f"doc_id {kind(docs, id_col)}, row_key long, f1 long, f2 long, sig binary")
+
+
+def band_rows(hashes: int, threshold: float, miss: float) -> int:
+    """The most rows a band at which a pair at the threshold shares none with probability ``miss`` at most."""
+    fit = [r for r in range(1, hashes + 1) if (1 - threshold**r) ** (hashes // r) <= miss]
+    if not fit:
+        raise ValueError(f"{hashes} hashes are too few for a miss probability of {miss} at {threshold}")
+    return max(fit)
 
 
 def _bands(rows: int):
@@ -181,68 +201,146 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicate_groups(docs: DataFrame, ngram: int = NGRAM, hashes: int = HASHES, rows: int = ROWS, threshold: float = THRESHOLD, miss: float = MISS, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that lie in a group of more than one: doc_id, row_key, group_id (least doc_id, which stays), jaccard with it where that pair was verified (1.0 for the same n-gram set).
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+
+
+def block_pairs(group: np.ndarray, side: np.ndarray, root: np.ndarray, sig: np.ndarray, ends: list[int], bound: list[int], pairs: int = PAIRS):
+    """Places (a, b) of the pairs that survive pruning, ``pairs`` candidates at a time. Rows are sorted by group and side; a group with one side is compared with itself, one with two sides across. Equal roots aren't compared."""
+    n = len(group)
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(start, n))
+    first, last = np.repeat(start, size), np.repeat(start + size, size)
+    ones = np.add.reduceat((side == 1).astype(np.int64), start).repeat(size)
+    across = ones > 0
+    begin = np.where(across, last - ones, np.arange(n) + 1)
+    count = np.where(across & (side == 1), 0, last - begin)
+    total = np.concatenate([[0], np.cumsum(count)])
+    for lo in range(0, int(total[-1]), pairs):  # a row's partners may go on in the next run
+        k = np.arange(lo, min(lo + pairs, total[-1]))
+        a = np.searchsorted(total, k, "right") - 1
+        b = begin[a] + k - total[a]
+        keep = root[a] != root[b]
+        a, b = a[keep], b[keep]
+        matches, at = np.zeros(len(a), np.int64), 0
+        for hi, least in zip(ends, bound, strict=True):
+            matches += (sig[a, at:hi] == sig[b, at:hi]).sum(axis=1)
+            keep = matches >= least
+            a, b, matches, at = a[keep], b[keep], matches[keep], hi
+        yield a, b
+
+
+def _compare(hashes: int, threshold: float, miss: float, batch: int):
+    ends = [*range(batch, hashes, batch), hashes]
+    bound = [least_matches(n, threshold, miss) for n in ends]
 
-    One row for each document but the group's first. See the module's text for edge cases.
-    """
-    sigs = cut_lineage(signature_table(docs, ngram, hashes, id_col, text_col))
-    # a representative is named by a key of its own, so that ids which repeat with other texts do no harm
-    key = F.xxhash64("f1", "f2").alias("rep")
-    members = sigs.select(key, "doc_id", "row_key").distinct()
-    firsts = members.groupBy("rep").agg(F.min(F.struct("doc_id", "row_key")).alias("m")).select("rep", "m.*")
-    reps = cut_lineage(sigs.select(key, "doc_id", "row_key", "sig").join(firsts, ["rep", "doc_id", "row_key"]).dropDuplicates(["rep"]))
+    def pairs(t: pa.Table):
+        key = [np.asarray(t.column(c)) for c in ("key", "lo", "hi")]
+        new = np.concatenate([[False], np.any([x[1:] != x[:-1] for x in key], axis=0)])
+        rep = np.asarray(t.column("rep"))
+        for a, b in block_pairs(np.cumsum(new), np.asarray(t.column("side")), np.asarray(t.column("root")), _signatures(t.column("sig")), ends, bound):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
-    from pyspark.sql import Window
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            if not t.num_rows:
+                continue
+            other = np.flatnonzero(np.any([np.asarray(t.column(c)) != t.column(c)[-1].as_py() for c in ("key", "lo", "hi")], axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from pairs(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    return run
+
+
+def _groups(s: Scratch, docs: DataFrame, ngram: int, hashes: int, threshold: float, miss: float, batch: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """near_duplicate_groups, and doc_id, row_key of rows that repeat; both cut from the scratch tables."""
+    rows = band_rows(hashes, threshold, miss)
+    # a representative is named by a key of its own, so that ids which repeat with other texts do no harm
+    sigs = s.keep(signature_table(docs, ngram, hashes, id_col, text_col).withColumn("rep", F.xxhash64("f1", "f2")).drop("f1", "f2"))
+    members = s.keep(sigs.groupBy("rep", "doc_id", "row_key").agg(F.count("*").alias("copies")))
+    reps = s.keep(sigs.groupBy("rep").agg(F.min(F.struct("doc_id", "row_key", "sig")).alias("m")).select("rep", "m.*"))
+    s.free(sigs)
 
-    w = Window.partitionBy("key")
-    found = reps.select("rep", "sig").mapInArrow(_bands(rows), "key long, rep long")
     # only buckets of two or more go on
-    found = cut_lineage(found.withColumn("head", F.min("rep").over(w)).withColumn("tail", F.max("rep").over(w)).where("head <> tail").select("key", "rep", "head"))
-    # texts of all documents that share a bucket, fetched once for both rounds of verification
-    named = found.select("rep").distinct().join(reps.select("rep", F.col("doc_id").alias("i"), F.col("row_key").alias("k")), "rep")
-    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
-    texts = cut_lineage(d.join(named, ["i", "k"]).dropDuplicates(["rep"]).select("rep", "text"))
+    bands = reps.select("rep", "sig").mapInArrow(_bands(rows), "key long, rep long")
+    heads = s.keep(bands.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("key", "head"))
+    found = s.keep(bands.join(small_or_shuffled(heads, 16), "key").select("key", "rep", "head"))
+    s.free(heads)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda s: reps.select(F.col("rep").alias(s), F.col("sig").alias(f"sig_{s}"))
-        alive = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prune(hashes, threshold, miss, batch), "a long, b long"))
-        text = lambda s: texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}"))
-        return cut_lineage(alive.join(text("a"), "a").join(text("b"), "b").mapInArrow(_exact(ngram, threshold), "a long, b long, jaccard double"))
+        """a, b, jaccard of the pairs that reach the threshold on their whole texts."""
+        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        named = s.keep(ids.join(reps.select("rep", F.col("doc_id").alias("i"), F.col("row_key").alias("k")), "rep"))
+        d = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).withColumn("k", F.xxhash64("text"))
+        texts = s.keep(d.join(small_or_shuffled(named, 48), ["i", "k"]).select("rep", "text").dropDuplicates(["rep"]))
+        side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+        out = s.keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_exact(ngram, threshold), "a long, b long, jaccard double"))
+        s.free(named, texts)
+        return out
 
     star = found.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = verified(star)
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
+    edges = verified(s.keep(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_prune(hashes, threshold, miss, batch), "a long, b long")))
     label = components(edges)
+
+    # second round: members of a bucket that lie in different components, in blocks; the head was compared with all
     root = F.coalesce("root", "rep").alias("root")
-    placed = found.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "head", root)
-    w = Window.partitionBy("key")
-    mixed = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").select("key", "rep", "head", "root")
-    x, y = (mixed.select("key", *(F.col(c).alias(s + c) for c in ("rep", "head", "root"))) for s in ("x", "y"))
-    # the head's own pairs were compared above
-    rest = x.join(y, "key").where("xrep < yrep and xroot <> yroot and xrep <> xhead and yrep <> yhead").select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
-    rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        edges = cut_lineage(edges.unionByName(verified(rest)))
-        label = components(edges)
-
-    grouped = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", "row_key", root)
+    placed = s.keep(found.where("rep <> head").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", root))
+    mixed = s.keep(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    rest = placed.join(small_or_shuffled(mixed, 16), "key").join(reps.select("rep", "sig"), "rep")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "root", "sig")
+    rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side").mapInArrow(_compare(hashes, threshold, miss, batch), "a long, b long")
+    alive = s.keep(rest.distinct())
+    if not alive.isEmpty():
+        more = verified(alive)
+        # the components' roots are the nodes now
+        at = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        across = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        nodes = label.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("root")))
+        label = cut_lineage(nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        edges = edges.unionByName(more)
+
+    grouped = s.keep(members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", "row_key", root))
     keep = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "row_key", "rep")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = edges.select("a", "b", "jaccard").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
     out = grouped.join(keep, "root").where("doc_id <> keep.doc_id or row_key <> keep.row_key")
     out = out.select("doc_id", "row_key", "rep", F.col("keep.doc_id").alias("group_id"), F.col("keep.rep").alias("keep_rep"))
     out = out.join(pairs.select(F.col("a").alias("rep"), F.col("b").alias("keep_rep"), "jaccard"), ["rep", "keep_rep"], "left")
-    return out.select("doc_id", "row_key", "group_id", F.when(F.col("rep") == F.col("keep_rep"), 1.0).otherwise(F.col("jaccard")).alias("jaccard"))
+    out = out.select("doc_id", "row_key", "group_id", F.when(F.col("rep") == F.col("keep_rep"), 1.0).otherwise(F.col("jaccard")).alias("jaccard"))
+    return cut_lineage(out), cut_lineage(members.where("copies > 1").select("doc_id", "row_key"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents without all but the first of each group. Of rows that repeat an id and text one stays; null ids and wordless texts stay."""
-    gone = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **params)
-    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    i, k = fresh(docs, "gone_id", "gone_key")
-    gone = cut_lineage(gone.select(F.col("doc_id").alias(i), F.col("row_key").alias(k)).distinct())
-    kept = docs.join(gone, (key == F.col(i)) & (F.xxhash64(text) == F.col(k)), "left_anti")
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(key.alias("i"), F.xxhash64(text).alias("k")).count().where("count > 1").select("i")
+def near_duplicate_groups(docs: DataFrame, ngram: int = NGRAM, hashes: int = HASHES, threshold: float = THRESHOLD, miss: float = MISS, batch: int = BATCH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents that lie in a group of more than one: doc_id, row_key, group_id (least doc_id, which stays), jaccard with it where that pair was verified (1.0 for the same n-gram set).
+
+    One row for each document but the group's first. See the module's text for edge cases.
+    """
+    with Scratch(docs.sparkSession, "near-duplicates") as s:
+        return _groups(s, docs, ngram, hashes, threshold, miss, batch, block, id_col, text_col)[0]
+
+
+def deduplicate(docs: DataFrame, ngram: int = NGRAM, hashes: int = HASHES, threshold: float = THRESHOLD, miss: float = MISS, batch: int = BATCH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without all but the first of each group. Of rows that repeat an id and text one stays; null ids and null or wordless texts stay."""
+    with Scratch(docs.sparkSession, "near-duplicates") as s:
+        gone, twice = _groups(s, docs, ngram, hashes, threshold, miss, batch, block, id_col, text_col)
+    i, k, what, n = fresh(docs, "gone_id", "gone_key", "gone_mark", "gone_place")
+    mark = lambda d, x: d.select(F.col("doc_id").alias(i), F.col("row_key").alias(k), F.lit(x).alias(what))
+    marks = cut_lineage(mark(gone, 0).unionByName(mark(twice.join(gone, ["doc_id", "row_key"], "left_anti"), 1)).distinct())
+    marked = docs.join(small_or_shuffled(marks, 40), (F.col(id_col) == F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(k)), "left")
+    kept = marked.where(F.col(what).isNull()).select(docs.columns)
     if twice.isEmpty():
         return kept
-    again = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
-    return again.unionByName(kept.where(F.col(id_col).isNull()))
+    from pyspark.sql import Window
+
+    # of equal ids and texts the first by all columns
+    again = marked.where(F.col(what) == 1).withColumn(n, F.row_number().over(Window.partitionBy(i, k).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))))
+    return kept.unionByName(again.where(F.col(n) == 1).select(docs.columns))
