@@ -44,9 +44,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut_lineage, kind, mix
+from .common import U64, cut_lineage, kind, mix, small_or_shuffled
 
-CHUNK, SHARE, MIN_PAGES, BROADCAST_BYTES, CHUNKS_A_TASK = 512, 0.9, 4, 32 << 20, 16
+CHUNK, SHARE, MIN_PAGES, CHUNKS_A_TASK, MOST_TASKS = 512, 0.9, 4, 4, 100_000
 _PLAIN = re.compile(r"</?[a-zA-Z!][^<>]*>|[^<\s]+|<")
 _OPEN = re.compile(r"<!--|<(?:script|style)\b", re.I)
 _CLOSE = re.compile(r"</(?:script|style)\s*>", re.I)
@@ -284,22 +284,17 @@ def _hosts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
-def small_or_shuffled(df: DataFrame, width, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A table by host, marked for broadcast if the bytes that it has (``width`` a row) are within the limit; beyond it the join shuffles, and adaptive execution splits hot hosts."""
-    total = df.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(df) if total <= limit else df
-
-
 def _totals(p: DataFrame, size: DataFrame, chunk: int, share: float) -> DataFrame:
     """host, token, host_pages and the sums over the host's chunks."""
     chunks = size.agg(F.sum(F.ceil(F.col("host_pages") / chunk))).first()[0] or 0
-    parts = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks // CHUNKS_A_TASK))
+    # a few chunks a task; with very many, tasks get more of them, one at a time
+    parts = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-chunks // CHUNKS_A_TASK), MOST_TASKS))
     # rows are dealt before any shuffle, where their numbers are the same whenever they are computed
-    keyed = p.select("host", F.xxhash64("page_id", "html").alias("key"), F.monotonically_increasing_id().alias("row"), "html").join(small_or_shuffled(size, F.lit(64)), "host")
+    keyed = p.select("host", F.xxhash64("page_id", "html").alias("key"), F.monotonically_increasing_id().alias("row"), "html").join(small_or_shuffled(size, 64), "host")
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("host_pages") / chunk)).cast("int"))
     spread = keyed.select("host", "salt", "key", "html").repartition(parts, "host", "salt").sortWithinPartitions("host", "salt")
     sums = spread.mapInArrow(_sums(share), _SUMS).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "v1", "v2", "place", "seen")))
-    return sums.join(small_or_shuffled(size, F.lit(64)), "host")
+    return sums.join(small_or_shuffled(size, 64), "host")
 
 
 def classes_of(pages: DataFrame, chunk: int = CHUNK, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
