@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-SLICE_BYTES, BROADCAST_BYTES = 1 << 20, 32 << 20
+SLICE_BYTES, HASH_BLOCK, BROADCAST_BYTES, ROW_BYTES = 1 << 20, 1 << 19, 8 << 20, 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _pow = [np.ones(1, U64), np.ones(1, U64)]
@@ -85,8 +85,8 @@ class Scratch:
 
 
 def small_or_shuffled(df: DataFrame, width, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A table marked for broadcast if its bytes (``width`` a row: a number or a Column) are within the limit; beyond it the join shuffles, and adaptive execution splits hot keys."""
-    total = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
+    """A table marked for broadcast if its bytes (``width`` a row: a number or a Column, and what a row of a hash table costs) are within the limit; beyond it the join shuffles, and adaptive execution splits hot keys."""
+    total = df.agg(F.sum(ROW_BYTES + (width if isinstance(width, Column) else F.lit(width)))).first()[0] or 0
     return F.broadcast(df) if total <= limit else df
 
 
@@ -110,7 +110,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base modulo 2**64, and of its inverse."""
     if len(_pow[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 2 * HASH_BLOCK + 1)
         for k, b in enumerate((_BASE, _INV)):
             x = np.full(size, b, U64)
             x[0] = 1
@@ -182,7 +182,21 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for many spans, from prefix sums of a polynomial hash."""
+    """64-bit hash of values[start:end] for many spans in order of their starts, from prefix sums of a polynomial hash.
+
+    A hash doesn't depend on where its span lies, so long arrays are taken a piece at a time, and the 64-bit sums stay small.
+    """
+    if len(values) > 2 * HASH_BLOCK and len(start):
+        out, cuts = np.empty(len(start), U64), np.searchsorted(start, np.arange(0, len(values), HASH_BLOCK))
+        for i, j in zip(cuts, [*cuts[1:], len(start)], strict=True):
+            if i < j:
+                lo, hi = int(start[i]), int(end[i:j].max())
+                out[i:j] = _span_hash(values[lo:hi], start[i:j] - lo, end[i:j] - lo)
+        return out
+    return _span_hash(values, start, end)
+
+
+def _span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * up[:-1], dtype=U64, out=total[1:])

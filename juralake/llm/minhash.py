@@ -173,8 +173,7 @@ def _exact(ngram: int, threshold: float):
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
+            for b in slices(batch, "text_a"):
                 out = []
                 for x, y in zip(sets(b.column("text_a")), sets(b.column("text_b")), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
