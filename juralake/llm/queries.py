@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bestfit, decontam, html_template, langid, media, minhash, nnls_pack, suffix_dedup, toxicity, url_rules
+from .common import cut_lineage, ensure_checkpoint_dir
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +52,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as packed windows of token ids."""
-    return bestfit.pack_tokens(_t(spark, sf_dir, "documents"))
+    """All documents as packed windows of token ids: written as binary files to the shared folder, and read from there."""
+    folder = f"{ensure_checkpoint_dir(spark)}/token-binary-{uuid.uuid4().hex}"
+    files = cut_lineage(bestfit.write_binary(bestfit.pack_tokens(_t(spark, sf_dir, "documents")), folder))
+    return bestfit.read_binary(files)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,14 +116,16 @@ WITH parts AS (
   SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), tx AS (
   SELECT t, bad FROM tok JOIN lab ON tok.page_id = lab.doc_id WHERE len(t) > 0
-), need AS (
-  SELECT ceil(0.01 * count(*)) AS n FROM tx
+), base AS (
+  SELECT count(*) FILTER (WHERE bad) / CAST(count(*) AS DOUBLE) AS share FROM tx
 ), subsets AS (
   SELECT list_filter(t, lambda x, i: (b // CAST(power(2, i - 1) AS BIGINT)) % 2 = 1) AS rule, bad FROM tx, LATERAL (SELECT unnest(range(1, CAST(power(2, len(t)) AS BIGINT))) AS b)
 ), rules AS (
-  SELECT rule, round(count(*) FILTER (WHERE bad) / CAST(count(*) AS DOUBLE), 6) AS confidence FROM subsets, need GROUP BY rule, n HAVING count(*) FILTER (WHERE bad) >= n
+  SELECT rule, count(*) FILTER (WHERE bad) / CAST(count(*) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM subsets GROUP BY rule HAVING count(*) FILTER (WHERE bad) >= 10
+), strong AS (
+  SELECT rule, round(p, 6) AS confidence FROM rules, base WHERE round(p, 6) >= 0.5 AND (p + 16 / (2 * n) - 4 * sqrt(p * (1 - p) / n + 16 / (4 * n * n))) / (1 + 16 / n) > share
 ), good AS (
-  SELECT * FROM rules WHERE confidence >= 0.5
+  SELECT * FROM strong a WHERE NOT EXISTS (SELECT 1 FROM strong b WHERE len(b.rule) < len(a.rule) AND b.confidence >= a.confidence AND list_has_all(a.rule, b.rule))
 ), hit AS (
   SELECT t, count(*) AS n_rules, max(confidence) AS confidence FROM (SELECT DISTINCT t FROM tok), good WHERE list_has_all(t, rule) GROUP BY t
 )
