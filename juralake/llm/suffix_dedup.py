@@ -18,10 +18,13 @@ window over it is a later copy and no window over it is a first one, so each
 repeated window stays whole at its first place.
 
 Edge cases: null ids, null texts and texts of fewer than LENGTH words have no
-repeats and stay as they are. Repeats within one text count. Rows that repeat an
-id and text are copies of each other for ``repeats``; ``remove`` treats all rows
-of one id and text alike, keeping what the first keeps. A text of which nothing
-is left is dropped.
+repeats and stay as they are; an empty table gives an empty one. Texts are read
+whole, however long. Repeats within one text count. Rows that repeat an id and
+text are copies of each other for ``repeats``; ``remove`` treats all rows of one
+id and text alike, keeping what the first keeps. Of places with equal ids and
+positions the one with the least hash of its text is first. A text of which
+nothing is left is dropped. Ids keep their type and order; ``remove`` returns all
+columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, U64, buffers, fresh, i64, ragged, slices, span_hash, words
+from .common import NONSPACE, U64, buffers, fresh, i64, kind, ragged, slices, span_hash, words
 
 LENGTH, KMER, WINDOW = 50, 5, 40
 _POS = 22
@@ -92,7 +95,7 @@ def _emit(length: int, kmer: int, window: int):
     return run
 
 
-def _mark(prefix, doc, key, lead, hashes):
+def _mark(prefix, hashes):
     """For rows sorted by (prefix, doc, lead): per window, whether its hash recurs under its prefix, and whether this is the first place."""
     counts = np.array([len(x) for x in hashes]) // 4
     value = np.frombuffer(b"".join(hashes), np.uint32).astype(np.int64)
@@ -125,14 +128,14 @@ def _runs(row, counts, lead, flag):
 def _extend(batches):
     """Compares and extends neighbours. Rows come sorted by prefix; a prefix that goes on in the next batch is carried over."""
     held = None
-    names = ["prefix", "doc_id", "row_key", "lead", "hashes"]
 
     def out(t):
-        prefix, doc, key, lead = (np.asarray(t.column(c)) for c in names[:4])
-        row, counts, first, later = _mark(prefix, doc, key, lead, t.column("hashes").to_pylist())
+        prefix, lead = (np.asarray(t.column(c)) for c in ("prefix", "lead"))
+        row, counts, first, later = _mark(prefix, t.column("hashes").to_pylist())
         parts = [(_runs(row, counts, lead, f), k) for f, k in ((first, True), (later, False))]
         at = np.concatenate([p[0][0] for p in parts])
-        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(key[at]), pa.array(np.concatenate([p[0][1] for p in parts]).astype(np.int32)), pa.array(np.concatenate([p[0][2] for p in parts]).astype(np.int32)), pa.array(np.concatenate([np.full(len(p[0][0]), p[1]) for p in parts]))], ["doc_id", "row_key", "lead", "n", "is_first"])
+        doc, key = (t.column(c).combine_chunks().take(pa.array(at)) for c in ("doc_id", "row_key"))
+        return pa.RecordBatch.from_arrays([doc, key, pa.array(np.concatenate([p[0][1] for p in parts]).astype(np.int32)), pa.array(np.concatenate([p[0][2] for p in parts]).astype(np.int32)), pa.array(np.concatenate([np.full(len(p[0][0]), p[1]) for p in parts]))], ["doc_id", "row_key", "lead", "n", "is_first"])
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -172,8 +175,8 @@ def _spans(length: int):
                 stay, later = covered(lead[first], n[first], size), covered(lead[~first], n[~first], size)
                 rep.append(edges(stay | later))
                 cut.append(edges(later & ~stay))
-            kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32())]))
-            rows = lambda x: pa.array([[{"first_word": a, "end_word": e} for a, e in r] for r in x], kind)
+            spans = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32())]))
+            rows = lambda x: pa.array([[{"first_word": a, "end_word": e} for a, e in r] for r in x], spans)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), rows(rep), rows(cut)], ["doc_id", "row_key", "repeats", "cuts"])
 
     return run
@@ -183,17 +186,17 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, window
     """doc_id, row_key (hash of the text), repeats and cuts (arrays of word spans [first_word, end_word)) of every document that holds a repeated passage."""
     if window + kmer - 1 > length:
         raise ValueError("window + kmer - 1 must not exceed length: else a passage might hold no kept suffix")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("row_key", F.xxhash64("text"))
-    s = d.mapInArrow(_emit(length, kmer, window), "prefix long, doc_id long, row_key long, lead int, hashes binary")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("row_key", F.xxhash64("text"))
+    s = d.mapInArrow(_emit(length, kmer, window), f"prefix long, doc_id {kind(docs, id_col)}, row_key long, lead int, hashes binary")
     from pyspark.sql import Window
 
     # neighbours: a suffix goes on only if the one before or after it in sorted order has the same prefix
     w = Window.partitionBy("prefix").orderBy("doc_id", "lead", "row_key")
     s = s.withColumn("before", F.lag("lead").over(w)).withColumn("after", F.lead("lead").over(w)).where("before is not null or after is not null").drop("before", "after")
-    runs = s.mapInArrow(_extend, "doc_id long, row_key long, lead int, n int, is_first boolean")
+    runs = s.mapInArrow(_extend, f"doc_id {kind(docs, id_col)}, row_key long, lead int, n int, is_first boolean")
     per_doc = runs.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lead", "n", "is_first")).alias("runs"))
-    kind = "array<struct<first_word:int,end_word:int>>"
-    return per_doc.mapInArrow(_spans(length), f"doc_id long, row_key long, repeats {kind}, cuts {kind}")
+    spans = "array<struct<first_word:int,end_word:int>>"
+    return per_doc.mapInArrow(_spans(length), f"doc_id {kind(docs, id_col)}, row_key long, repeats {spans}, cuts {spans}")
 
 
 def repeats(docs: DataFrame, **params) -> DataFrame:
@@ -231,7 +234,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     # "nondeterministic" keeps the optimiser from running it once for the filter and once for the result
     shorten = F.pandas_udf(shorten, "string").asNondeterministic()
     text = F.col(text_col).cast("string")
-    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(k)), "left")
+    joined = docs.join(spans, (F.col(id_col) == F.col(i)) & (F.xxhash64(text) == F.col(k)), "left")
     whole = F.col(cuts).isNull()
     # texts without cuts don't go to Python: for them the function gets nulls
     short = joined.withColumn(new_text, shorten(F.when(~whole, text), F.col(cuts)))

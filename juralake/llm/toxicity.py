@@ -15,7 +15,10 @@ byte of it.
 
 Edge cases: null or empty texts score 0 and are never toxic; null ids are
 scored like others; a label table without rows of both classes gives a model
-that calls nothing toxic. Repeated rows are scored one by one.
+that calls nothing toxic; an empty table gives no rows. Repeated rows are scored
+one by one; of ids labelled twice the worse label counts, and ids of equal hash
+train in their own order. Ids keep their type (labels are found by the id as
+text); ``reject`` returns all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, buffers, list_rows, slices, span_hash, words
+from .common import ALNUM, U64, buffers, kind, list_rows, slices, span_hash, words
 from .minhash import shingles, signatures
 
 BITS, MAX_TRAIN, MIN_G2, THRESHOLD, SENTENCE, STEM, PASSAGE = 21, 4000, 20.0, 0.5, 0.5, 4, 256
@@ -99,6 +102,19 @@ def first_of_copies(texts: pa.Array, ngram: int = 3, hashes: int = 64, rows: int
     return np.flatnonzero(group == np.arange(len(group)))
 
 
+def loss_and_slopes(w: np.ndarray, b: float, row: np.ndarray, col: np.ndarray, owner: np.ndarray, y: np.ndarray, leak: float, l2: float) -> tuple[float, np.ndarray, float]:
+    """Mean loss of the leaky noisy-or over documents with labels y, with a pull of the weights to 0 and of the bias to -6, and its slopes. Word occurrences: sentence ``row``, word ``col``; ``owner``: document of each sentence."""
+    docs = len(y)
+    score = np.clip(np.bincount(row, w[col], len(owner)) + b, -30, 30)
+    none = _log_none(score, owner, docs) + np.log1p(-leak)
+    p = np.clip(-np.expm1(none), 1e-9, 1 - 1e-9)
+    # d loss / d log(none): with p = 1 - none
+    g_doc = np.where(y > 0, (1 - p) / p, -1.0)
+    g = g_doc[owner] * (1 / (1 + np.exp(-score))) * -1.0 / docs
+    value = -np.where(y > 0, np.log(p), none).mean() + l2 * (w @ w) / 2 + 1e-4 * (b + 6.0) ** 2 / 2
+    return float(value), np.bincount(col, g[row], len(w)) + l2 * w, float(g.sum() + 1e-4 * (b + 6.0))
+
+
 def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, min_g2: float = MIN_G2, rounds: int = 300, leak: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots with a weight, their weights, and the bias. 
 
@@ -133,16 +149,8 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, min_g2: float =
     y = labels.astype(float)
     w, b = np.zeros(len(names)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    log_leak = np.log1p(-leak)
     for t in range(1, rounds + 1):
-        score = np.clip(np.bincount(row, w[col], sentences) + b, -30, 30)
-        none = _log_none(score, owner, docs) + log_leak
-        p = np.clip(-np.expm1(none), 1e-9, 1 - 1e-9)
-        # d loss / d log(none): with p = 1 - none
-        g_doc = np.where(y > 0, (1 - p) / p, -1.0)
-        g = g_doc[owner] * (1 / (1 + np.exp(-score))) * -1.0 / docs
-        gw = np.bincount(col, g[row], len(names)) + l2 * w
-        gb = g.sum() + 1e-4 * (b + 6.0)
+        _, gw, gb = loss_and_slopes(w, b, row, col, owner, y, leak, l2)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.1
@@ -152,11 +160,11 @@ def train(texts: pa.Array, labels: np.ndarray, bits: int = BITS, min_g2: float =
     return names[held], w[held], float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **params) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", **params) -> tuple[np.ndarray, np.ndarray, float]:
     """The model from at most ``max_train`` labelled documents: least hash of the id first."""
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("__toxic"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "__id").where("__text is not null")
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(max_train).select(F.col("__id").cast("string").alias("__key"), "__toxic")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(id_col).cast("string").alias("__key"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), "__key").where("__text is not null")
     # at most max_train texts come here, whatever the corpus is
     rows = rows.groupBy("__text").agg(F.max("__toxic").alias("__toxic"), F.min("__id").alias("__id")).orderBy("__id").select("__text", "__toxic").toArrow()
     return train(rows.column("__text").combine_chunks(), np.asarray(rows.column("__toxic")).astype(np.int64), **params)
@@ -193,27 +201,27 @@ def _score(model, bits: int, threshold: float, sentence: float):
 _SCHEMA = "p_toxic double, is_toxic boolean, sentences array<struct<sentence:int,byte_start:int,byte_end:int,score:double>>"
 
 
-def score(docs: DataFrame, model, bits: int = BITS, threshold: float = THRESHOLD, sentence: float = SENTENCE) -> DataFrame:
+def score(docs: DataFrame, model, bits: int = BITS, threshold: float = THRESHOLD, sentence: float = SENTENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_toxic, is_toxic, and of toxic documents the offending sentences (number, byte span in the lower-cased text, score). One row for each row of docs; no shuffle."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_score(model, bits, threshold, sentence), f"doc_id long, {_SCHEMA}")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return d.mapInArrow(_score(model, bits, threshold, sentence), f"doc_id {kind(docs, id_col)}, {_SCHEMA}")
 
 
-def _keep(model, bits: int, threshold: float):
+def _keep(model, bits: int, threshold: float, text_col: str):
     names, weights, bias = model
 
     def run(batches):
         table = np.zeros(1 << bits, np.float32)
         table[names] = weights
         for batch in batches:
-            at = batch.schema.names.index("text")
-            for part in slices(batch):
-                p = judge(part.column(at), table, bias, bits)[0]
+            at = batch.schema.names.index(text_col)
+            for part in slices(batch, text_col):
+                p = judge(pc.cast(part.column(at), pa.string()), table, bias, bits)[0]
                 yield part.filter(pa.array(p < threshold))
 
     return run
 
 
-def reject(docs: DataFrame, model, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
+def reject(docs: DataFrame, model, bits: int = BITS, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents that aren't toxic, with all their columns, in one pass without a shuffle."""
-    return docs.mapInArrow(_keep(model, bits, threshold), docs.schema)
+    return docs.mapInArrow(_keep(model, bits, threshold, text_col), docs.schema)

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on messy and empty tables."""
 
 import itertools
+import os
 import random
 import re
 
@@ -20,6 +21,17 @@ def test_matches_sql(spark, name):
     check(spark, SF, queries.queries()[name], queries.oracle_sql()[name])
 
 
+def test_span_hash_by_pieces():
+    from juralake.llm import common
+
+    rng = np.random.default_rng(18)
+    values = rng.integers(0, 256, 3 * common.HASH_BLOCK).astype(np.uint8)
+    start = np.sort(rng.integers(0, len(values) - 50, 5000))
+    end = start + rng.integers(0, 50, 5000)
+    end[7] = len(values)  # a span over several pieces
+    assert (common.span_hash(values, start, end) == common._span_hash(values, start, end)).all()
+
+
 # --- 6 MinHash
 
 
@@ -322,6 +334,45 @@ def test_toxicity_finds_sentences(spark):
     assert np.mean([[s["sentence"] for s in got[r[0]]["sentences"]] == [r[5]] for r in hits]) > 0.9
 
 
+def test_noisy_or_brute_force():
+    """The loss's value and slopes: products over sentences, and differences."""
+    rng = np.random.default_rng(21)
+    owner = np.repeat(np.arange(5), [3, 1, 4, 0, 2])
+    row, col = rng.integers(0, 10, 30), rng.integers(0, 6, 30)
+    y, w, b = np.array([1, 0, 1, 1, 0]), rng.normal(size=6), -1.5
+
+    def loss(w, b):
+        total = 0
+        for d in range(5):
+            none = 1 - 0.05
+            for k in np.flatnonzero(owner == d):
+                none *= 1 - 1 / (1 + np.exp(-(b + w[col[row == k]].sum())))
+            total -= np.log(1 - none) if y[d] else np.log(none)
+        return total / 5 + 1e-4 * (w @ w) / 2 + 1e-4 * (b + 6) ** 2 / 2
+
+    value, gw, gb = toxicity.loss_and_slopes(w, b, row, col, owner, y, 0.05, 1e-4)
+    assert abs(value - loss(w, b)) < 1e-9
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-6
+        assert abs(gw[k] - (loss(w + e, b) - loss(w - e, b)) / 2e-6) < 1e-6
+    assert abs(gb - (loss(w, b + 1e-6) - loss(w, b - 1e-6)) / 2e-6) < 1e-6
+
+
+def test_judge_brute_force():
+    """Probabilities of documents and sentences from the definition, and the sentences' places."""
+    rng = random.Random(22)
+    table, bias = np.zeros(1 << toxicity.BITS), -2.0
+    for x in ("bad", "worse", "meh"):
+        table[toxicity.features(pa.array([x]))[0].ravel()] += {"bad": 1.0, "worse": 2.0, "meh": -0.5}[x]
+    texts = [". ".join(" ".join(rng.choice(["bad", "worse", "meh", "fine", "day"]) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(0, 7))) for _ in range(40)] + [None, "", "!!"]
+    score = lambda s: bias + sum(table[toxicity.features(pa.array([x]))[0].ravel()].sum() for x in s.split())
+    p, owner, got, lo, hi = toxicity.judge(pa.array(texts), table, bias, toxicity.BITS)
+    sentences = [[x for x in re.split("[.!?\\n]+ *", t or "") if x.strip()] for t in texts]
+    none = [np.prod([min(1.0, (1 + np.exp(bias)) / (1 + np.exp(score(s)))) for s in x]) for x in sentences]
+    assert np.allclose(p, 1 - np.array(none)) and np.allclose(got, [1 / (1 + np.exp(-score(s))) for x in sentences for s in x])
+    assert [texts[d][a:b] for d, a, b in zip(owner, lo, hi, strict=True)] == [s for x in sentences for s in x]
+
+
 def test_toxicity_messy(spark, messy, empty):
     none = spark.createDataFrame([(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     m = toxicity.fit(messy, none)
@@ -460,9 +511,40 @@ def test_tokens_round_trip(messy, messy_rows, empty, window, pool, tmp_path):
             want.setdefault(i, []).extend((o, x[o : o + window]) for o in range(0, len(x), window))
     assert got == {k: sorted(v) for k, v in want.items()}
     assert bestfit.pack_tokens(empty).count() == 0
-    files = bestfit.write_binary(packed, str(tmp_path / "bin"), window).collect()
-    assert sum(r["tokens"] for r in files) == sum(len(x) for v in want.values() for _, x in v)
-    assert sum(len(x) for f in files for x in bestfit.read_binary(f["path"], window)) == sum(r["tokens"] for r in files)
+    folder = ("file://" if pool == 1000 else "") + str(tmp_path / "bin")
+    files = bestfit.write_binary(packed, folder).cache()
+    assert sum(r["tokens"] for r in files.collect()) == sum(len(x) for v in want.values() for _, x in v)
+    back = bestfit.read_binary(files, "bigint", window).collect()
+    assert sorted(map(str, back)) == sorted(map(str, packed.collect()))
+    ids = np.concatenate([np.fromfile(f"{tmp_path}/bin/{r['path'].rsplit('/', 1)[1]}.ids", np.uint16).reshape(-1, window) for r in files.collect()])
+    assert len(ids) == len(back) and not [f for f in os.listdir(tmp_path / "bin") if f.rsplit(".", 1)[1] not in bestfit.PARTS]
+    assert bestfit.write_binary(bestfit.pack_tokens(empty), str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("op", ["suffix", "decontam", "tokens", "language", "packing", "toxicity"])
+def test_string_ids_and_own_names(spark, op):
+    """Ids that are no numbers, and other names for the columns."""
+    rng = random.Random(23)
+    t = words(rng, 70)
+    d = spark.createDataFrame([("b-1", f"{t} {words(rng, 9)}", "x"), ("a-2", t, "y"), (None, "short", "x"), ("c", None, "y")], "key string, body string, doc_id string")
+    item = spark.createDataFrame([("i", t)], "item_id string, text string")
+    at = {"id_col": "key", "text_col": "body"}
+    lab = spark.createDataFrame([("b-1", 1, 1), ("a-2", 1, 0)], "doc_id string, quality int, toxic int")
+    if op == "suffix":
+        assert sorted((r["doc_id"], r["n_cut"]) for r in suffix_dedup.repeats(d, **at).collect()) == [("a-2", 0), ("b-1", 70)]
+        assert {(r["key"], len((r["body"] or "").split())) for r in suffix_dedup.remove(d, **at).collect()} == {("a-2", 70), ("b-1", 9), (None, 1), ("c", 0)}
+    elif op == "decontam":
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, item, **at).collect()) == [("a-2", "i"), ("b-1", "i")]
+        assert sorted(str(r["key"]) for r in decontam.remove(d, item, text_col="body").collect()) == ["None", "c"]
+    elif op == "tokens":
+        assert {x["doc_id"] for r in bestfit.pack_tokens(d, **at).collect() for x in r["segments"]} == {"b-1", "a-2", None}
+    elif op == "language":
+        assert {r["doc_id"]: r["lang_pred"] for r in langid.classify(d, langid.prototypes(d, lang_col="doc_id", text_col="body"), **at).collect()}["c"] is None
+    elif op == "packing":
+        assert {r["doc_id"] for r in nnls_pack.pack(d, **at).collect()} == {"b-1", "a-2", None}
+    else:
+        m = toxicity.fit(d, lab, **at)
+        assert {r["doc_id"] for r in toxicity.score(d, m, **at).collect()} == {"b-1", "a-2", None, "c"} and toxicity.reject(d, m, text_col="body").count() == 4
 
 
 # --- 10 NNLS packing
@@ -507,16 +589,63 @@ def test_packing_messy(messy, messy_rows, empty):
 
 
 def test_url_rules(spark):
-    pages = [(i, f"https://{'spam' if i % 3 == 0 else 'ok'}{i % 2}.example.com/{'buy' if i % 3 == 0 else 'read'}/{i}") for i in range(300)] + [(None, None), (None, ""), (7, "https://ok.example.com/read/7"), (1, "::::")]
+    pages = [(i, f"https://{'spam' if i % 3 == 0 else 'ok'}{i % 2}.example.com/{'buy' if i % 3 == 0 else 'read'}/{i}") for i in range(300)] + [(None, None), (None, ""), (7, "https://ok.example.com/read/7"), (1, "::::"), (301, "https://ok.example.com/" + "x/" * 50_000)]
     p = spark.createDataFrame(pages, "page_id long, url string")
     lab = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1, None) for i in range(150)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
-    r = url_rules.filter_urls(p, lab, 0.05, 0.9).collect()
+    rules = url_rules.mine_rules(p, lab, 10, 0.9).collect()
+    # one token tells it all, so longer rules are redundant
+    assert sorted(r["rule"] for r in rules) == [["h:spam#"], ["p:buy"]] and {(r["support"], r["total"]) for r in rules} == {(50, 50)}
+    r = url_rules.filter_urls(p, lab, 10, 0.9).collect()
     assert len(r) == len(pages)
-    assert all(x["rejected"] == (x["page_id"] % 3 == 0) for x in r if x["page_id"] is not None and x["page_id"] >= 150)
-    assert not any(x["rejected"] for x in r if x["page_id"] is None)
+    assert all(x["rejected"] == (x["page_id"] % 3 == 0) for x in r if x["page_id"] is not None and 150 <= x["page_id"] < 300)
+    assert not any(x["rejected"] for x in r if x["page_id"] is None or x["page_id"] > 300)
     assert url_rules.filter_urls(p, lab.where("false")).where("rejected").count() == 0 and url_rules.filter_urls(p.where("false"), lab).count() == 0
 
 
+def brute_rules(pages, bad, least, confidence, z):
+    """Every subset of every labelled page's tokens."""
+    total, hits = {}, {}
+    for i, tokens in pages:
+        for n in range(1, len(tokens) + 1):
+            for c in itertools.combinations(tokens, n):
+                total[c] = total.get(c, 0) + 1
+                hits[c] = hits.get(c, 0) + bad[i]
+    share = sum(bad[i] for i, _ in pages) / len(pages)
+
+    def strong(c):
+        n, p = total[c], hits[c] / total[c]
+        return hits[c] >= least and round(p, 6) >= confidence and (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n) > share
+
+    good = {c: round(hits[c] / total[c], 6) for c in total if strong(c)}
+    return {c: v for c, v in good.items() if not any(set(d) < set(c) and w >= v for d, w in good.items())}
+
+
+def test_url_rules_brute_force(spark):
+    """Rules of a small host in a larger corpus, of a pair of tokens that neither has alone, and none by chance; string ids and clashing columns."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(19)
+    rows, bad = [], {}
+    for i in range(1500):
+        host, path, q = rng.choice("abcd"), rng.choice("uvwx"), rng.choice(["", "?k&m", "?k"])
+        if i % 100 < 2:
+            host = "rare"
+        rows.append((f"p{i}", f"http://{host}.org/{path}/{rng.randrange(9)}{q}"))
+        bad[f"p{i}"] = int(rng.random() < (0.95 if host == "rare" or (host == "a" and path == "u") else 0.2))
+    d = spark.createDataFrame(rows, "page_id string, url string").select("*", *(F.lit(1).alias(c) for c in ("id", "bad", "tokens", "token", "rule", "confidence", "items")))
+    lab = spark.createDataFrame([(i, 1 - b, None) for i, b in bad.items()], "doc_id string, quality int, toxic int")
+    tokens = {r["page_id"]: r["t"] for r in d.select("page_id", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    want = brute_rules(list(tokens.items()), bad, 10, 0.5, 4.0)
+    assert {tuple(r["rule"]): r["confidence"] for r in url_rules.mine_rules(d, lab).collect()} == want and ("h:rare",) in want and ("h:a", "p:u") in want
+    for r in url_rules.filter_urls(d, lab).collect():
+        hit = [v for c, v in want.items() if set(c) <= set(tokens[r["page_id"]])]
+        assert (r["n_rules"], r["confidence"], r["rejected"]) == (len(hit), max(hit, default=None), bool(hit))
+    # labels that don't depend on URLs give no rules
+    mixed = list(bad.values())
+    rng.shuffle(mixed)
+    assert url_rules.mine_rules(d, spark.createDataFrame([(i, 1 - b, None) for i, b in zip(bad, mixed, strict=True)], "doc_id string, quality int, toxic int")).count() == 0
+
+
 # --- 2 media
 
 
@@ -543,6 +672,45 @@ def test_wav_widths_and_tone():
     assert np.allclose(s[1], direct, atol=1e-2)
 
 
+def brute_fingerprint(x, rate):
+    """Frames, a direct Fourier sum, every cell against its neighbourhood, every pair of peaks."""
+    n, hop = media.FRAME, media.HOP
+    x = np.concatenate([x, np.zeros(max(0, n - len(x)))])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+    wave_ = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    s = np.array([np.abs(wave_ @ (x[a : a + n] * window)) for a in range(0, len(x) - n + 1, hop)])
+    level, peaks = s.mean() + s.std(), []
+    for t, f in itertools.product(range(s.shape[0]), range(s.shape[1])):
+        around = s[max(0, t - media.NEAR_T) : t + media.NEAR_T + 1, max(0, f - media.NEAR_F) : f + media.NEAR_F + 1]
+        if s[t, f] > level and s[t, f] > 1e-4 and s[t, f] >= around.max():
+            peaks.append((t, f))
+    return sorted((t * hop * 1000 // rate, f << 24 | g << 8 | u - t) for t, f in peaks for u, g in peaks if 0 < u - t <= media.REACH and abs(g - f) <= media.SPAN)
+
+
+def test_fingerprint_brute_force(spark):
+    rng = np.random.default_rng(20)
+    clips = []
+    for k in range(12):
+        size, rate = ((6000, 8000), (300, 8000), (6000, 11025), (4096, 8000))[k % 4]
+        t = np.arange(size) / rate
+        x = sum(rng.random() * np.sin(2 * np.pi * rng.integers(100, rate // 2 - 200) * t) * (t > rng.random() * t[-1]) for _ in range(6))
+        clips.append((media.write_wav(0.9 * x / np.abs(x).max(), rate), rate))
+    d = spark.createDataFrame([(f"c{i}", c, "x") for i, (c, _) in enumerate(clips)] * 2, "id string, media binary, fingerprint string").repartition(2)
+    total = 0
+    for r in media.fingerprints(d, "id").collect():
+        data, rate = clips[int(r["media_id"][1:])]
+        got, want = [(p["t_ms"], p["hash"]) for p in r["fingerprint"]], brute_fingerprint(media.read_wav(data)[0].astype(float), rate)
+        total += len(want)
+        assert got == sorted(got) and len(set(got) ^ set(want)) <= 0.02 * len(want), r["media_id"]  # a cell at the level may round either way
+    assert total > 500
+
+
+def test_media_long_clip():
+    x = np.tile(media.read_wav(media.render(np.sin(np.arange(64))))[0], 120)  # two minutes
+    ms, code = media.fingerprint(x, 8000)
+    assert ms[-1] > 118_000 and len(code) > 1000
+
+
 def test_media_messy(spark):
     clip = media.render(np.sin(np.arange(64)))
     late = media.write_wav(np.concatenate([np.zeros(2560), media.read_wav(clip)[0]]))
