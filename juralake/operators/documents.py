@@ -117,24 +117,27 @@ def _notes(nodes: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "at", "marker", "text").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_ord").isNotNull(), F.struct("ref_ord", "href")))), lambda x: x["href"]).alias("refs"))
 
 
-def element_texts(nodes: DataFrame, requests: DataFrame | None = None) -> DataFrame:
-    """doc_id, eid, kind, num, heading, text, notes, section_path of requested elements (None: of every element with an id). Notes are apart from the text; steps without an id aren't in the path."""
+def element_texts(nodes: DataFrame, requests: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """doc_id, ord, eid, kind, num, heading, text, notes, section_path of requested elements (None: of every element with an id, or of those of a kind). Notes are apart from the text; steps without an id aren't in the path."""
     n = _ok(nodes)
     if requests is not None:
         n = n.join(resolve_eids(nodes, requests).select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
-    e = n.where("eid is not null").select("doc_id", "ord", "end_ord", "eid", F.col("tag").alias("kind"), "num", "heading", "text", F.filter(F.transform("path", lambda s: s["eid"]), lambda x: x.isNotNull()).alias("section_path"))
+    n = n.where("eid is not null") if kind is None else n.where((F.col("tag") == kind) & F.col("eid").isNotNull())
+    # numbers find the notes; texts come in by key at the end
     notes = _notes(nodes).select(F.col("doc_id").alias("_d"), "at", "marker", F.col("text").alias("note"), "refs")
-    j = e.join(notes, (F.col("doc_id") == F.col("_d")) & (F.col("at") > F.col("ord")) & (F.col("at") <= F.col("end_ord")), "left")
-    got = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "marker", F.col("note").alias("text"), "refs"))))
-    notes = F.transform(got, lambda x: F.struct(x["marker"].alias("marker"), x["text"].alias("text"), x["refs"].alias("refs")))
-    return j.groupBy("doc_id", "ord", "eid", "kind", "num", "heading", "text", "section_path").agg(notes.alias("notes"))
+    j = n.select("doc_id", "ord", "end_ord").join(notes, (F.col("doc_id") == F.col("_d")) & (F.col("at") > F.col("ord")) & (F.col("at") <= F.col("end_ord")))
+    got = j.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("at", "marker", F.col("note").alias("text"), "refs"))).alias("notes"))
+    listed = F.transform("notes", lambda x: F.struct(x["marker"].alias("marker"), x["text"].alias("text"), x["refs"].alias("refs")))
+    e = n.select("doc_id", "ord", "eid", F.col("tag").alias("kind"), "num", "heading", "text", F.filter(F.transform("path", lambda s: s["eid"]), lambda x: x.isNotNull()).alias("section_path"))
+    none = F.array().cast("array<struct<marker:string,text:string,refs:array<string>>>")
+    return e.join(got, ["doc_id", "ord"], "left").withColumn("notes", F.coalesce(listed, none))
 
 
 def article_texts(nodes: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """element_texts of articles. With requests, an element of another kind gives a row with ``error`` instead of text."""
-    d = element_texts(nodes, requests)
     if requests is None:
-        return d.where("kind = 'article'").withColumn("error", F.lit(None).cast("string"))
+        return element_texts(nodes, kind="article").withColumn("error", F.lit(None).cast("string"))
+    d = element_texts(nodes, requests)
     wrong = F.col("kind") != "article"
     return d.withColumn("error", F.when(wrong, F.concat(F.lit("WrongElementKind("), "kind", F.lit(")")))).withColumn("text", F.when(~wrong, F.col("text")))
 
@@ -233,10 +236,11 @@ def component_documents(nodes: DataFrame, keep_stubs: bool = True) -> DataFrame:
     c = c.select("doc_id", "index", F.col("ord").alias("base"))
     tops = c.join(_ok(nodes).select("doc_id", F.col("ord").alias("base"), F.col("end_ord").alias("hi"), F.col("depth").alias("d0"), F.size("path").alias("p0"), F.col("tag").alias("t0"), F.col("eid").alias("e0"), F.col("component").alias("c0")), ["doc_id", "base"])
     n = _ok(nodes).join(tops, "doc_id").where("ord >= base and ord <= hi")
+    inner_owner = F.col("owner_ord") >= F.col("base")
     above = F.col("p0") - F.when(F.col("t0").isin(*HIERARCHY_TAGS), 1).otherwise(0)
     return n.select(
         F.concat("doc_id", F.lit("#"), "index").alias("doc_id"), (F.col("ord") - F.col("base")).alias("ord"), (F.col("end_ord") - F.col("base")).alias("end_ord"),
-        F.when(F.col("ord") > F.col("base"), F.col("parent_ord") - F.col("base")).alias("parent_ord"), (F.col("depth") - F.col("d0")).alias("depth"), "tag", "attrs", "eid", "nearest_eid", "text", "text_notes", "text_no_tables", "num", "heading",
+        F.when(F.col("ord") > F.col("base"), F.col("parent_ord") - F.col("base")).alias("parent_ord"), F.when(inner_owner, F.col("owner_ord") - F.col("base")).alias("owner_ord"), (F.col("depth") - F.col("d0")).alias("depth"), "tag", "attrs", "eid", F.coalesce("eid", F.when(inner_owner, F.col("nearest_eid"))).alias("nearest_eid"), "text", "text_notes", "text_no_tables", "num", "heading",
         F.transform(F.slice("path", above + 1, F.greatest(F.size("path") - above, F.lit(0))), lambda x: x.withField("ord", x["ord"] - F.col("base"))).alias("path"), "is_eid_leaf", F.when(F.col("component") != F.col("c0"), F.col("component")).alias("component"), "error",
     )
 
@@ -278,33 +282,15 @@ def foreign_content(nodes: DataFrame) -> DataFrame:
 
 
 def hollow(nodes: DataFrame) -> DataFrame:
-    """doc_id, ord, eid, kind, is_leaf, text of every element with an id: leaves keep their text, others name the elements with ids next below, breadth first."""
-    e = _ok(nodes).where("eid is not null").select("doc_id", "ord", "parent_ord", "depth", "eid", "tag", "is_eid_leaf", "text")
-    up = _with_parent_ord(nodes, e)
-    kids = up.where("owner is not null").groupBy("doc_id", F.col("owner").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "o", "eid"))), lambda x: x["eid"]).alias("kids"))
-    d = e.join(kids, ["doc_id", "ord"], "left")
-    stub = F.concat(F.lit("[Siehe Unterelemente: "), F.array_join("kids", ", "), F.lit("]"))
-    return d.select("doc_id", "ord", "eid", F.col("tag").alias("kind"), F.col("is_eid_leaf").alias("is_leaf"), F.when(F.col("is_eid_leaf"), F.col("text")).otherwise(stub).alias("text"))
-
+    """doc_id, ord, eid, kind, is_leaf, text of every element with an id: leaves keep their text, others name the elements with ids next below, breadth first.
 
-def _with_parent_ord(nodes: DataFrame, e: DataFrame) -> DataFrame:
-    """owner: of each element with an id, the number of its nearest proper ancestor with one.
-
-    Ancestors come before in order and end at or behind this element; the nearest is the last such. An ancestor's subtree is an interval, so a running structure over a document's rows finds it in one pass.
-    """
-    rows = e.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "depth", "eid"))).alias("x"))
-    ends = _ok(nodes).where("eid is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "end_ord"))).alias("y"))
-    # the stack of open ancestors goes along the ordered rows: pop those that ended, note the top, push
-    step = """
-      aggregate(y, named_struct('open', cast(array() as array<struct<ord:int,end_ord:int>>), 'out', cast(array() as array<int>)),
-        (s, n) -> named_struct(
-          'open', concat(filter(s.open, a -> a.end_ord >= n.ord), array(n)),
-          'out', concat(s.out, array(element_at(concat(array(-1), transform(filter(s.open, a -> a.end_ord >= n.ord), a -> a.ord)), -1)))),
-        s -> s.out)
+    The parser names each element's nearest one above with an id, so names are gathered by it; no text is shuffled.
     """
-    j = rows.join(ends, "doc_id").withColumn("owner", F.expr(step))
-    z = j.select("doc_id", F.explode(F.arrays_zip("x", "owner")).alias("z"))
-    return z.select("doc_id", F.col("z.x.ord").alias("o"), F.col("z.x.depth").alias("depth"), F.col("z.x.eid").alias("eid"), F.when(F.col("z.owner") >= 0, F.col("z.owner")).alias("owner"))
+    e = _ok(nodes).where("eid is not null")
+    out = lambda d, text: d.select("doc_id", "ord", "eid", F.col("tag").alias("kind"), F.col("is_eid_leaf").alias("is_leaf"), text.alias("text"))
+    below = e.where("owner_ord is not null").groupBy("doc_id", F.col("owner_ord").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", F.col("ord").alias("o"), "eid"))), lambda x: x["eid"]).alias("kids"))
+    stubs = e.where("not is_eid_leaf").select("doc_id", "ord", "eid", "tag", "is_eid_leaf").join(below, ["doc_id", "ord"])
+    return out(e.where("is_eid_leaf"), F.col("text")).unionByName(out(stubs, F.concat(F.lit("[Siehe Unterelemente: "), F.array_join("kids", ", "), F.lit("]"))))
 
 
 def provenance_id(meta: DataFrame) -> DataFrame:

@@ -51,6 +51,16 @@ LIFT: dict[str, str] = {
     "triples": """SELECT concat('c/', c_custkey) AS s, 'seg' AS p, c_mktsegment AS o FROM {customer} UNION ALL SELECT concat('c/', c_custkey), 'nation', concat('n/', c_nationkey) FROM {customer}
         UNION ALL SELECT concat('n/', n_nationkey), 'region', concat('r/', n_regionkey) FROM {nation} UNION ALL SELECT concat('o/', o_orderkey), 'by', concat('c/', o_custkey) FROM {orders}""",
     "versions": "SELECT concat('eli/cc/', user_id) AS eli, concat('v', event_id % 50) AS version_id, CAST(ts AS DATE) AS valid_from, CAST(ts AS TIMESTAMP) AS transaction_time, concat(event_type, ' ', event_id) AS text FROM {events}",
+    "doc_consolidations": """SELECT concat('eli/cc/2000/', doc_id) AS work, concat('c/', doc_id, '/1') AS cons, CAST('2000-01-01' AS DATE) AS date FROM {documents}
+        UNION ALL SELECT concat('eli/cc/2000/', doc_id), concat('c/', doc_id, '/2'), CAST('2010-01-01' AS DATE) FROM {documents}""",
+    "doc_expressions": "SELECT concat('c/', doc_id, '/1') AS cons, concat('x/', doc_id, '/1') AS expr, 'de' AS lang FROM {documents} UNION ALL SELECT concat('c/', doc_id, '/2'), concat('x/', doc_id, '/2'), 'de' FROM {documents}",
+    "doc_manifestations": "SELECT concat('x/', doc_id, '/1') AS expr, concat('https://example.org/xml/', doc_id, '/1') AS url FROM {documents} UNION ALL SELECT concat('x/', doc_id, '/2'), concat('https://example.org/xml/', doc_id, '/2') FROM {documents}",
+    # ids as they come from a graph: three to seven steps, with and without a host
+    "deep_works": """SELECT concat(CASE WHEN c_custkey % 2 = 0 THEN 'https://example.org/' ELSE '' END, 'eli/cc/', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat(1990 + c_custkey % 7, '/') END, c_custkey % 50,
+        CASE WHEN c_custkey % 5 = 0 THEN '/x/y' ELSE '' END) AS work FROM {customer}""",
+    "deep_impacts": """SELECT concat('i/', l_orderkey, '/', l_linenumber) AS impact, concat('eli/oc/', 1990 + l_suppkey % 7, '/', l_suppkey % 50, '/a', l_linenumber) AS source,
+        concat(CASE WHEN l_orderkey % 2 = 0 THEN 'https://example.org/' ELSE '' END, 'eli/cc/', CASE WHEN l_partkey % 3 = 0 THEN '' ELSE concat(1990 + l_partkey % 7, '/') END, l_partkey % 50, CASE WHEN l_suppkey % 5 = 0 THEN '/x/y' ELSE '' END,
+        CASE WHEN l_linenumber > 1 THEN concat('/art_', l_linenumber) ELSE '' END) AS target, l_returnflag AS type, CAST(l_shipdate AS DATE) AS date, l_linestatus AS comment FROM {lineitem}""",
     "requests": "SELECT CAST(user_id AS VARCHAR(20)) AS key, event_id AS request_id, CAST(day(ts) AS BIGINT) * 86400000 + CAST(hour(ts) AS BIGINT) * 3600000 + CAST(minute(ts) AS BIGINT) * 60000 + CAST(second(ts) AS BIGINT) * 1000 AS ts_ms, CASE WHEN event_type = 'purchase' THEN 5 ELSE 1 END AS cost FROM {events}",
 }
 
@@ -76,11 +86,13 @@ def with_lifts(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def legal_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, xml: a legal document built from each text. A line is an article and a sentence a paragraph; every third document has chapters of up to four articles, every seventh only levels, every eleventh no body; odd lines carry a note, a reference and a table where they are long."""
+def legal_xml(spark: SparkSession, sf_dir: str, later: bool = False) -> DataFrame:
+    """doc_id, xml: a legal document built from each text (``later``: from the text of its second version, in which tion is TION and a line is added). A line is an article and a sentence a paragraph; every third document has chapters of up to four articles, every seventh only levels, every eleventh no body; odd lines carry a note, a reference and a table where they are long."""
     from pyspark.sql import functions as F
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    if later:
+        d = d.withColumn("text", F.concat(F.replace("text", F.lit("tion"), F.lit("TION")), F.lit("\nOne line more")))
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
 
@@ -98,6 +110,6 @@ def legal_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("lines", lines).withColumn("arts", arts)
     inner = F.when(F.col("doc_id") % 7 == 0, F.array_join(F.transform("lines", level), "")).when(F.col("doc_id") % 3 == 0, F.array_join(chapters, "")).otherwise(F.array_join("arts", ""))
     body = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("<body>"), inner, F.lit("</body>")))
-    frbr = F.concat(F.lit('<meta><identification><FRBRWork><FRBRuri value="https://example.org/eli/cc/2000/'), "doc_id", F.lit('"/><FRBRdate name="jolux:dateDocument" date="2000-01-01"/><FRBRnumber value="SR '), F.col("doc_id") % 100, F.lit('"/><FRBRname lang="'), "lang", F.lit('" value="Act '), "doc_id", F.lit('"/></FRBRWork><FRBRExpression><FRBRlanguage language="'), "lang", F.lit('"/></FRBRExpression></identification></meta>'))
+    frbr = F.concat(F.lit('<meta><identification><FRBRWork><FRBRuri value="https://example.org/eli/cc/2000/'), "doc_id", F.lit('"/><FRBRdate name="jolux:dateDocument" date="2000-01-01"/><FRBRauthor href="#org"/><FRBRnumber value="SR '), F.col("doc_id") % 100, F.lit('"/><FRBRname lang="'), "lang", F.lit('" value="Act '), "doc_id", F.lit('"/></FRBRWork><FRBRExpression><FRBRuri value="https://example.org/eli/cc/2000/'), "doc_id", F.lit("/"), "lang", F.lit('"/><FRBRlanguage language="'), "lang", F.lit('"/></FRBRExpression><FRBRManifestation><FRBRthis value="https://example.org/eli/cc/2000/'), "doc_id", F.lit("/"), "lang", F.lit('/xml"/></FRBRManifestation></identification><references><TLCOrganization eId="org" showAs="Office '), F.col("doc_id") % 10, F.lit('"/></references></meta>'))
     xml = F.concat(F.lit("<akomaNtoso><act>"), frbr, body, F.lit("</act></akomaNtoso>"))
     return d.select("doc_id", xml.alias("xml"))

@@ -2,18 +2,27 @@
 
 The one place where Python runs per document: mixed content keeps its order only
 in a parser. Everything after works on the node table with DataFrame operators;
-``ord`` and ``end_ord`` make "lies within" a comparison of numbers.
+``ord`` and ``end_ord`` make "lies within" a comparison of numbers, and
+``owner_ord`` names the nearest element above that has an id.
 
 Text rules: notes (authorialNote) and foreign islands aren't running text; a
 space follows num, td and th, a line break follows block elements; soft hyphens
 go and no-break spaces become spaces; lines are trimmed and empty ones dropped.
+
+``text`` is the whole running text of an element. Its variants are there only
+where they say something else: ``text_no_tables`` of elements that hold a table,
+and ``text_notes`` (with notes, without the spaces and breaks) of references,
+whose label it is, or of all elements on demand.
+
+The walk fills one list a column, over many documents, and Arrow arrays are made
+from these; paths are lists of row numbers until then.
 """
 
 from __future__ import annotations
 
-import re
 import xml.etree.ElementTree as ET
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,125 +30,232 @@ from pyspark.sql import functions as F
 from ..functions.text import HIERARCHY_TAGS
 
 _STEP = "struct<ord:int,eid:string,kind:string,num:string,heading:string>"
-NODE_SCHEMA = f"doc_id string, ord int, end_ord int, parent_ord int, depth int, tag string, attrs map<string,string>, eid string, nearest_eid string, text string, text_notes string, text_no_tables string, num string, heading string, path array<{_STEP}>, is_eid_leaf boolean, component int, error string"
+NODE_SCHEMA = f"doc_id string, ord int, end_ord int, parent_ord int, owner_ord int, depth int, tag string, attrs map<string,string>, eid string, nearest_eid string, text string, text_notes string, text_no_tables string, num string, heading string, path array<{_STEP}>, is_eid_leaf boolean, component int, error string"
 _H = frozenset(HIERARCHY_TAGS)
 _SPACE = frozenset(("num", "td", "th"))
 _BREAK = frozenset("block content heading intro item listIntroduction p paragraph tr".split())
 _NOTE_BREAK = frozenset(("p", "paragraph", "heading", "item"))
+_END = {t: " " for t in _SPACE} | {t: "\n" for t in _BREAK}
+_APART = frozenset(("authorialNote", "foreign"))
 
 
 def clean(t: str | None) -> str:
-    return t.replace("­", "").replace(" ", " ") if t else ""
+    return t.replace("\u00ad", "").replace("\u00a0", " ") if t else ""
 
 
 def tidy(t: str) -> str:
-    return "\n".join(x for x in (line.strip() for line in re.split(r"\r?\n", t)) if x)
+    if "\n" not in t:
+        return t.strip()
+    return "\n".join([x for x in [line.strip() for line in t.split("\n")] if x])
 
 
 def _local(tag) -> str:
-    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
 
-def document_rows(xml: str | bytes) -> list[dict]:
-    """Rows of one document. Raises ValueError (not legal XML) or ET.ParseError."""
-    top = ET.fromstring(xml.encode() if isinstance(xml, str) else xml)
-    if _local(top.tag) != "akomaNtoso":
-        raise ValueError(f'NotAkn("{_local(top.tag)}")')
-    root = next((c for c in top if isinstance(c.tag, str)), None)
-    if root is None:
-        raise ValueError('NotAkn("empty")')
-    rows: list[dict] = []
-    raw: list[list[str]] = []  # per element: text, with notes, without tables
-    elements: list = []
-    components = 0
-    stack = [(root, -1, 0)]
-    while stack:  # preorder, without recursion
-        e, parent, depth = stack.pop()
-        tag, up = _local(e.tag), rows[parent] if parent >= 0 else None
-        attrs = {_local(k): clean(v) for k, v in e.attrib.items()}
-        comp = up["component"] if up else None
-        if tag == "component":
-            comp, components = components, components + 1
-        eid = attrs.get("eId")
-        rows.append({"ord": len(rows), "end_ord": 0, "parent_ord": parent if parent >= 0 else None, "depth": depth, "tag": tag, "attrs": attrs, "eid": eid, "nearest_eid": eid if eid is not None else (up["nearest_eid"] if up else None), "num": None, "heading": None, "component": comp, "is_eid_leaf": eid is not None})
-        elements.append(e)
-        at = len(rows) - 1
-        stack.extend((c, at, depth + 1) for c in reversed(e) if isinstance(c.tag, str))
-    order: list[list[int]] = [[] for _ in rows]
-    for r in rows[1:]:
-        order[r["parent_ord"]].append(r["ord"])
-    raw = [[] for _ in rows]
-    for i in range(len(rows) - 1, -1, -1):  # children come after their parent
-        r, e = rows[i], elements[i]
-        r["end_ord"] = rows[order[i][-1]]["end_ord"] if order[i] else i
-        plain, notes, bare = [clean(e.text)], [clean(e.text)], [clean(e.text)]
-        children = iter(order[i])
+def _gather(e, with_notes: bool) -> str:
+    """Raw text below an element: with notes, or without tables."""
+    out, stack = [], [(e, None)]
+    while stack:
+        e, end = stack.pop()
+        if end is not None:
+            out.append(end)
+            continue
+        if isinstance(e, str):
+            out.append(e)
+            continue
+        below = [(e.text, None)] if e.text else []
         for c in e:
             if isinstance(c.tag, str):
-                k = next(children)
-                tag = rows[k]["tag"]
-                if tag not in ("authorialNote", "foreign"):
-                    end = " " if tag in _SPACE else "\n" if tag in _BREAK else ""
-                    plain += (raw[k][0], end)
-                    if tag != "table":
-                        bare += (raw[k][2], end)
-                if tag != "foreign":
-                    notes += (raw[k][1], "\n" if tag in _NOTE_BREAK else "")
-            tail = clean(c.tail)
-            plain.append(tail)
-            notes.append(tail)
-            bare.append(tail)
-        raw[i] = ["".join(plain), "".join(notes), "".join(bare)]
-        r["text"], r["text_notes"], r["text_no_tables"] = map(tidy, raw[i])
-    for r in rows:
-        p = r["parent_ord"]
-        if p is not None:
-            up = rows[p]
-            if r["tag"] in ("num", "heading") and up[r["tag"]] is None:
-                up[r["tag"]] = r["text"]
-        if r["eid"] is not None:
-            while p is not None and rows[p]["is_eid_leaf"]:
-                rows[p]["is_eid_leaf"] = False
-                p = rows[p]["parent_ord"]
-    for r in rows:
-        path = rows[r["parent_ord"]]["path"] if r["parent_ord"] is not None else []
-        r["path"] = [*path, {"ord": r["ord"], "eid": r["eid"], "kind": r["tag"], "num": r["num"], "heading": r["heading"]}] if r["tag"] in _H else path
-    return rows
-
-
-_NAMES = ["ord", "end_ord", "parent_ord", "depth", "tag", "attrs", "eid", "nearest_eid", "text", "text_notes", "text_no_tables", "num", "heading", "path", "is_eid_leaf", "component"]
-_ARROW = {
-    **{n: pa.int32() for n in ("ord", "end_ord", "parent_ord", "depth", "component")},
-    **{n: pa.string() for n in ("tag", "eid", "nearest_eid", "text", "text_notes", "text_no_tables", "num", "heading")},
-    "attrs": pa.map_(pa.string(), pa.string()),
-    "path": pa.list_(pa.struct([("ord", pa.int32()), *((x, pa.string()) for x in ("eid", "kind", "num", "heading"))])),
-    "is_eid_leaf": pa.bool_(),
-}
-_EMIT = 4000
-
-
-def _parse(batches):
-    def batch(ids, rows, errors):
-        cols = [pa.array([list(r[n].items()) if n == "attrs" and r.get(n) else r.get(n) for r in rows], _ARROW[n]) for n in _NAMES]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *cols, pa.array(errors, pa.string())], ["doc_id", *_NAMES, "error"])
-
-    ids, rows, errors = [], [], []
-    for b in batches:
-        for i, xml in zip(b.column("doc_id").to_pylist(), b.column("xml"), strict=True):
-            try:
-                found, error = document_rows(xml.as_py() or ""), None
-            except (ET.ParseError, ValueError) as e:
-                found, error = [{}], str(e) if isinstance(e, ValueError) and not isinstance(e, ET.ParseError) else f"Parse({e})"
-            ids += [i] * len(found)
-            rows += found
-            errors += [error] * len(found)
-            if len(rows) >= _EMIT:
-                yield batch(ids, rows, errors)
-                ids, rows, errors = [], [], []
-    if rows:
-        yield batch(ids, rows, errors)
-
-
-def parse_nodes(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:
+                tag = _local(c.tag)
+                skip = tag == "foreign" if with_notes else tag in _APART or tag == "table"
+                if not skip:
+                    below += [(c, None), (None, ("\n" if tag in _NOTE_BREAK else "") if with_notes else _END.get(tag, ""))]
+            if c.tail:
+                below.append((c.tail, None))
+        stack.extend(reversed(below))
+    return clean("".join(out))
+
+
+class Columns:
+    """Rows of documents, as lists; path[i] and rows are numbers within the batch."""
+
+    NAMES = ("ord", "end_ord", "parent_ord", "owner_ord", "depth", "tag", "eid", "nearest_eid", "text", "text_notes", "text_no_tables", "num", "heading", "is_eid_leaf", "component", "error")
+
+    def __init__(self):
+        self.doc_id: list = []
+        self.attrs: list[list] = []
+        self.path: list[tuple] = []
+        for n in self.NAMES:
+            setattr(self, n, [])
+
+    def __len__(self) -> int:
+        return len(self.doc_id)
+
+    def fail(self, doc_id, error: str) -> None:
+        self.doc_id.append(doc_id)
+        self.attrs.append(None)
+        self.path.append(None)
+        for n in self.NAMES[:-1]:
+            getattr(self, n).append(None)
+        self.error.append(error)
+
+    def add(self, doc_id, xml: str | bytes, all_notes: bool = False) -> None:
+        """Rows of one document. Raises ValueError (not legal XML) or ET.ParseError, and then adds none."""
+        if isinstance(xml, bytes):
+            marked = True
+        else:
+            # characters that stand in the source are cleaned at once; others can only come from references
+            xml, marked = clean(xml), "&#" in xml or "<!ENTITY" in xml
+            xml = xml.encode()
+        top = ET.fromstring(xml)
+        if _local(top.tag) != "akomaNtoso":
+            raise ValueError(f'NotAkn("{_local(top.tag)}")')
+        root = next((c for c in top if isinstance(c.tag, str)), None)
+        if root is None:
+            raise ValueError('NotAkn("empty")')
+        scrub = clean if marked else (lambda t: t or "")
+        base = len(self.doc_id)
+        tags, eids, nearest, texts, nums, headings = self.tag, self.eid, self.nearest_eid, self.text, self.num, self.heading
+        parents, owners, depths, ends, attrs, paths, leaf, comps = self.parent_ord, self.owner_ord, self.depth, self.end_ord, self.attrs, self.path, self.is_eid_leaf, self.component
+        notes, bare = self.text_notes, self.text_no_tables
+        n, components, tabled = 0, 0, set()
+        names: dict[str, str] = {}
+        frames: list[tuple] = []
+        e, stream = root, []
+        while True:
+            if e is not None:  # enter
+                tag = names.get(e.tag)
+                if tag is None:
+                    tag = names[e.tag] = _local(e.tag)
+                up = frames[-1][1] if frames else -1
+                at = base + n
+                own = {_local(k): scrub(v) for k, v in e.attrib.items()} if e.attrib else {}
+                eid = own.get("eId")
+                if up < 0:
+                    owner, near, path, comp = None, None, (), None
+                else:
+                    u = base + up
+                    owner = up if eids[u] is not None else owners[u]
+                    near, path, comp = nearest[u], paths[u], comps[u]
+                if eid is not None:
+                    near = eid
+                    if owner is not None:
+                        leaf[base + owner] = False
+                if tag == "component":
+                    comp, components = components, components + 1
+                elif tag == "table":
+                    for f in reversed(frames):
+                        if f[1] in tabled:
+                            break
+                        tabled.add(f[1])
+                if tag in _H:
+                    path = (*path, at)
+                tags.append(tag)
+                eids.append(eid)
+                nearest.append(near)
+                texts.append(None)
+                nums.append(None)
+                headings.append(None)
+                parents.append(up if up >= 0 else None)
+                owners.append(owner)
+                depths.append(len(frames))
+                ends.append(0)
+                attrs.append(list(own.items()))
+                paths.append(path)
+                leaf.append(eid is not None)
+                comps.append(comp)
+                notes.append(None)
+                bare.append(None)
+                if tag in _APART:
+                    stream = []
+                frames.append((iter(e), n, tag, e, stream, len(stream)))
+                n += 1
+                if e.text:
+                    stream.append(scrub(e.text))
+            it, i, tag, own_e, stream, begin = frames[-1]
+            e = None
+            for c in it:
+                if isinstance(c.tag, str):
+                    e = c
+                    break
+                if c.tail:  # behind a comment
+                    stream.append(scrub(c.tail))
+            if e is not None:
+                continue
+            # leave
+            frames.pop()
+            at = base + i
+            raw = "".join(stream[begin:])
+            stream[begin:] = (raw,)
+            texts[at] = text = tidy(raw)
+            ends[at] = n - 1
+            if tag == "ref" or all_notes:
+                notes[at] = tidy(_gather(own_e, True))
+            if i in tabled:
+                bare[at] = tidy(_gather(own_e, False))
+            if not frames:
+                break
+            u = base + frames[-1][1]
+            if tag == "num":
+                if nums[u] is None:
+                    nums[u] = text
+            elif tag == "heading" and headings[u] is None:
+                headings[u] = text
+            stream = frames[-1][4]
+            end = _END.get(tag)
+            if end is not None:
+                stream.append(end)
+            if own_e.tail:
+                stream.append(scrub(own_e.tail))
+        self.ord.extend(range(n))
+        self.doc_id.extend([doc_id] * n)
+        self.error.extend([None] * n)
+
+    def batch(self) -> pa.RecordBatch:
+        ints, strings = pa.int32(), pa.string()
+        kinds = {n: ints for n in ("ord", "end_ord", "parent_ord", "owner_ord", "depth", "component")} | {"is_eid_leaf": pa.bool_()}
+        cols = {n: pa.array(getattr(self, n), kinds.get(n, strings)) for n in self.NAMES}
+        offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum([len(v) if v else 0 for v in x])]).astype(np.int32), mask=np.array([v is None for v in x] + [False]))
+        pairs = [kv for a in self.attrs if a for kv in a]
+        cols["attrs"] = pa.MapArray.from_arrays(offsets(self.attrs), pa.array([k for k, _ in pairs], strings), pa.array([v for _, v in pairs], strings))
+        step = pa.StructArray.from_arrays([cols["ord"], cols["eid"], cols["tag"], cols["num"], cols["heading"]], ["ord", "eid", "kind", "num", "heading"])
+        cols["path"] = pa.ListArray.from_arrays(offsets(self.path), step.take(pa.array([i for p in self.path if p for i in p], pa.int64())))
+        cols["doc_id"] = pa.array(self.doc_id, strings)
+        names = [x.split()[0] for x in NODE_SCHEMA.replace(_STEP, "step").replace("map<string,string>", "map").split(", ")]
+        return pa.RecordBatch.from_arrays([cols[n] for n in names], names)
+
+
+def document_rows(xml: str | bytes) -> list[dict]:
+    """Rows of one document with all texts, for looking at. Raises ValueError (not legal XML) or ET.ParseError."""
+    c = Columns()
+    c.add(None, xml, True)
+    return c.batch().to_pylist()
+
+
+_EMIT = 8000
+
+
+def _parse(all_notes: bool):
+    def run(batches):
+        c = Columns()
+        for b in batches:
+            for i, xml in zip(b.column("doc_id").to_pylist(), b.column("xml"), strict=True):
+                try:
+                    c.add(i, xml.as_py() or "", all_notes)
+                except ET.ParseError as e:
+                    c.fail(i, f"Parse({e})")
+                except ValueError as e:
+                    c.fail(i, str(e))
+                if len(c) >= _EMIT:
+                    yield c.batch()
+                    c = Columns()
+        if len(c):
+            yield c.batch()
+
+    return run
+
+
+def parse_nodes(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml", all_notes: bool = False) -> DataFrame:
     """The node table of docs(doc_id, xml). A document that can't be read gives one row with ``error`` and no node."""
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(xml_col).cast("string").alias("xml")).mapInArrow(_parse, NODE_SCHEMA)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(xml_col).cast("string").alias("xml")).mapInArrow(_parse(all_notes), NODE_SCHEMA)
