@@ -50,7 +50,7 @@ def _escape(c: Column) -> Column:
 
 def _unescape(c: Column) -> Column:
     """Undoes _escape; an escape that isn't known stays as it is."""
-    pairs = F.split(F.replace(c, F.lit("\\\\"), F.lit("\x00")), "\x00", -1)
+    pairs = F.split(c, r"\\\\", -1)  # at escaped backslashes, from the left
     plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
     return F.array_join(F.transform(pairs, plain), "\\")
 
@@ -80,13 +80,20 @@ def dump_snapshot(versions: DataFrame, path: str) -> None:
 
 
 def restore_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Versions of a snapshot. A wrong header, a line without five fields or a bad date is an error that names the file and line's text; empty lines are skipped."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name())
-    head = F.col("value").startswith("#corpus-snapshot")
-    bad_head = head & (F.col("value") != f"#corpus-snapshot v{SNAPSHOT_VERSION}")
+    """Versions of a snapshot. A file without its header or with another version's, a line without five fields or a bad date is an error that names the file and the line's text; empty lines are skipped.
+
+    Only a header has no tab, so a version whose id looks like one is still a version.
+    """
+    lines = spark.read.text(path).withColumn("file", F.input_file_name()).where(F.trim("value") != "")
     f = F.split("value", "\t", -1)
+    head = (F.size(f) == 1) & F.col("value").startswith("#corpus-snapshot")
+    bad_head = head & (F.col("value") != f"#corpus-snapshot v{SNAPSHOT_VERSION}")
+    # a file's other splits don't see its header
+    lines = lines.join(lines.where(head).select("file").distinct().withColumn("headed", F.lit(True)), "file", "left")
     day, tx = F.try_to_date(f[2], "yyyy-MM-dd"), F.try_to_timestamp(f[3], F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     wrong = (F.size(f) != 5) | day.isNull() | tx.isNull()
     fail = lambda what: F.raise_error(F.concat(F.lit(what + ": "), "file", F.lit(": "), F.substring("value", 1, 80)))
-    checked = lines.where(F.trim("value") != "").withColumn("ok", F.when(bad_head, fail("snapshot version")).when(~head & wrong, fail("snapshot line")).otherwise(F.lit(True))).where(F.col("ok") & ~head)
+    # one expression, so that no part of it is filtered away before it can fail
+    keep = F.when(bad_head, fail("snapshot version")).when(F.col("headed").isNull(), fail("snapshot without header")).when(head, F.lit(False)).when(wrong, fail("snapshot line")).otherwise(F.lit(True))
+    checked = lines.where(keep)
     return checked.select(_unescape(f[0]).alias("eli"), _unescape(f[1]).alias("version_id"), day.alias("valid_from"), tx.alias("transaction_time"), _unescape(f[4]).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,18 @@ def diff_to_markdown(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def paginate(df: DataFrame, page: int, page_size: int, *order, key: str | None = None) -> DataFrame:
-    """Rows of a page (from 0) of each key, with has_more and next_page. A page size of 0 counts as 1."""
+    """Rows of a page (from 0) of each key, with has_more and next_page. A page size of 0 counts as 1.
+
+    Without a key, each task keeps its first rows and only a page and one row more come together.
+    """
     size = max(1, page_size)
-    w = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    d = df.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_all", F.count("*").over(w))
+    if key is None:
+        d = df.orderBy(*order).offset(page * size).limit(size + 1)
+        w = Window.partitionBy(F.lit(0))  # over a page
+        d = d.withColumn("_n", F.row_number().over(w.orderBy(*order)) + page * size).withColumn("_all", F.count("*").over(w) + page * size)
+    else:
+        w = Window.partitionBy(key)
+        d = df.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_all", F.count("*").over(w))
     more = F.col("_all") > (page + 1) * size
     d = d.where((F.col("_n") > page * size) & (F.col("_n") <= (page + 1) * size))
     return d.withColumn("has_more", more).withColumn("next_page", F.when(more, F.lit(page + 1))).drop("_n", "_all")
@@ -54,3 +62,8 @@ def paginate(df: DataFrame, page: int, page_size: int, *order, key: str | None =
 def clamp(value: int | None, default: int = 20, low: int = 1, high: int = 50) -> int:
     """A limit argument: the default if absent, else within bounds."""
     return default if value is None else max(low, min(high, value))
+
+
+def clamped(value: Column, default: int = 20, low: int = 1, high: int = 50) -> Column:
+    """clamp as a Column."""
+    return F.coalesce(F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value))), F.lit(default))

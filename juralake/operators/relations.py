@@ -14,23 +14,21 @@ from ..plans.lineage import cut
 ANNEX = "subdivision-type/annex"
 
 
-def subdivisions(parts: DataFrame, type_uri: str | None = None, max_depth: int = 20, roots: DataFrame | None = None) -> DataFrame:
-    """work, sub, type: everything that is part of a work, directly or not (roots(work): only below these).
+def subdivisions(parts: DataFrame, type_uri: str | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """work, sub, type: everything that is part of a work, directly or not, however deep (roots(work): only below these).
 
-    Semi-naive, level by level: only pairs found in the last level are extended, and known pairs are taken off, so cycles end. Stops when a level finds nothing, or after ``max_depth`` levels; longer paths aren't followed. Each level is checkpointed.
+    Semi-naive with doubling: pairs found in the last round are extended by all known paths, so a chain of n links takes about log2(n) rounds; known pairs are taken off, so cycles end. With roots, only what hangs below them is followed, a level at a time. Each round is checkpointed.
     """
     edges = cut(parts.select("child", "parent").where("child is not null and parent is not null").distinct())
     start = edges if roots is None else edges.join(roots.select(F.col("work").alias("parent")).distinct(), "parent", "left_semi")
     fresh = known = cut(start.select(F.col("parent").alias("work"), F.col("child").alias("sub")))
-    for _ in range(1, max_depth):
-        step = fresh.join(edges, fresh["sub"] == edges["parent"]).select("work", F.col("child").alias("sub")).distinct()
+    while not fresh.isEmpty():
+        onward = edges.select("parent", "child") if roots is not None else known.select(F.col("work").alias("parent"), F.col("sub").alias("child"))
+        step = fresh.join(onward, fresh["sub"] == onward["parent"]).select("work", F.col("child").alias("sub")).distinct()
         fresh = cut(step.join(known, ["work", "sub"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
-    reach = known
+        known = cut(known.unionByName(fresh))
     types = parts.groupBy(F.col("child").alias("sub")).agg(F.min("type").alias("type"))
-    out = reach.join(types, "sub", "left").select("work", "sub", "type")
+    out = known.join(types, "sub", "left").select("work", "sub", "type")
     return out if type_uri is None else out.where(F.col("type") == type_uri)
 
 
@@ -38,45 +36,53 @@ def annexes(parts: DataFrame, **params) -> DataFrame:
     return subdivisions(parts, ANNEX, **params)
 
 
-def _by_prefix(rows: DataFrame, col: str, works: DataFrame, strict: bool, segments: int) -> DataFrame:
-    """rows whose id in ``col`` starts with a work's id, as an equi-join on the work.
+def works_of(ids: DataFrame, col: str, works: DataFrame, strict: bool) -> DataFrame:
+    """col, work: the works whose id an id starts with, for the distinct ids in ``col``; as an equi-join on the work.
 
-    A prefix join over many works would compare every pair. Ids are paths and works have ``segments`` segments, so a row's id can only start with works made of its first segments and a prefix of the last of these: a few candidates, or one if ``strict``, which are looked up by hash.
+    A prefix join over many works would compare every pair. An id starts with a work if its first n characters are the work, n being the work's length; works have few lengths, so an id has a few candidates, which are looked up by hash. Ids of any depth, with or without a host, are alike. ``strict``: the id is the work or goes on with a slash.
     """
-    head = F.concat(F.substring_index(F.col(col), "/", segments - 1), F.lit("/"))
-    seg = F.get(F.split(F.col(col), "/"), F.lit(segments - 1))
-    some = F.array(seg) if strict else F.transform(F.sequence(F.lit(1), F.length(seg)), lambda i: F.substring(seg, F.lit(1), i))
-    r = rows.where(F.length(seg) > 0).withColumn("work", F.explode(F.transform(some, lambda x: F.concat(head, x))))
-    return r.join(works.select("work").distinct(), "work")
+    w = works.select("work").where("work <> ''").distinct()
+    sizes = w.agg(F.collect_set(F.length("work")).alias("sizes"))  # one row
+    i = ids.select(col).where(F.col(col).isNotNull()).distinct().join(F.broadcast(sizes))
+    fits = lambda n: (n <= F.length(col)) & (F.substring(F.col(col), n + 1, F.lit(1)).isin("", "/") if strict else F.lit(True))
+    return i.select(col, F.explode(F.transform(F.filter("sizes", fits), lambda n: F.substring(F.col(col), F.lit(1), n))).alias("work")).join(w, "work").select(col, "work")
 
 
-def impacts_on(works: DataFrame, impacts: DataFrame, strict: bool = False, segments: int = 3) -> DataFrame:
+def _by_prefix(rows: DataFrame, col: str, works: DataFrame, strict: bool) -> DataFrame:
+    """rows whose id in ``col`` starts with a work's id, once for each such work. Ids repeat far more than works do, so works are looked up once an id."""
+    return rows.join(works_of(rows, col, works, strict), col)
+
+
+def impacts_on(works: DataFrame, impacts: DataFrame, strict: bool = False) -> DataFrame:
     """work, impact, source, target, type, date, comment of changes to a work; neither distinct nor limited. Sort by date to show.
 
     By default an id that merely starts with the work's (…/76 and …/762) counts too; ``strict`` wants the work itself or a part of it.
     """
-    return _by_prefix(impacts.where("target is not null"), "target", works, strict, segments).select("work", "impact", "source", "target", "type", "date", "comment")
+    return _by_prefix(impacts, "target", works, strict).select("work", "impact", "source", "target", "type", "date", "comment")
 
 
-def article_history(requests: DataFrame, impacts: DataFrame, strict: bool = False, segments: int = 3) -> DataFrame:
+def article_history(requests: DataFrame, impacts: DataFrame, strict: bool = False) -> DataFrame:
     """Impacts on an element, for requests(work, eid): the target lies under the work and holds the normalised eid anywhere (``strict``: as whole steps)."""
-    hits = _by_prefix(impacts.where("target is not null"), "target", requests, False, segments).where(F.col("target").startswith(F.concat("work", F.lit("/"))))
+    asked = requests.select("work", "eid").distinct()
+    under = works_of(impacts, "target", requests, True).where(F.length("target") > F.length("work"))
     eid = normalize_eid(F.col("eid"))
     held = F.contains(F.concat("target", F.lit("/")), F.concat(F.lit("/"), eid, F.lit("/"))) if strict else F.contains("target", eid)
-    return hits.join(requests.select("work", "eid").distinct(), "work").where(held).select("work", "eid", "impact", "source", "target", "type", "date", "comment")
+    hits = under.join(asked, "work").where(held)
+    return impacts.join(hits, "target").select("work", "eid", "impact", "source", "target", "type", "date", "comment")
 
 
-def outgoing_impacts(acts: DataFrame, impacts: DataFrame, strict: bool = False, segments: int = 3) -> DataFrame:
+def outgoing_impacts(acts: DataFrame, impacts: DataFrame, strict: bool = False) -> DataFrame:
     """work, impact, target, type, date of the changes that an act makes elsewhere."""
-    return _by_prefix(impacts.where("source is not null and target is not null"), "source", acts, strict, segments).select("work", "impact", "target", "type", "date")
+    return _by_prefix(impacts.where("target is not null"), "source", acts, strict).select("work", "impact", "target", "type", "date")
 
 
-def citations_of(works: DataFrame, citations: DataFrame, direction: str = "both", strict: bool = False, segments: int = 3) -> DataFrame:
+def citations_of(works: DataFrame, citations: DataFrame, direction: str = "both", strict: bool = False) -> DataFrame:
     """work, source, target, description; one row for each (source, target), with the least description."""
     sides = {"out": ["source"], "in": ["target"], "both": ["source", "target"]}[direction]
-    c = citations.where("source is not null and target is not null")
+    # a work depends on source and target alone, so copies of a pair go first
+    c = citations.where("source is not null and target is not null").groupBy("source", "target").agg(F.min("description").alias("description"))
     found = None
     for side in sides:
-        part = _by_prefix(c, side, works, strict, segments).select("work", "source", "target", "description")
+        part = _by_prefix(c, side, works, strict).select("work", "source", "target", "description")
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("work", "source", "target").agg(F.min("description").alias("description"))
+    return found.distinct() if len(sides) > 1 else found

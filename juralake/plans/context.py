@@ -51,6 +51,13 @@ def with_hints(hits: DataFrame, eli_col: str, stamp: QueryStamp) -> DataFrame:
     return with_provenance(hits, eli_col, stamp, HINT)
 
 
+def hint_envelope(hits: DataFrame, eli_col: str, stamp: QueryStamp) -> DataFrame:
+    """with_hints, and one row of nulls with the provenance of the search itself (``SENTINEL``) where there are no hits, so that no answer is without provenance."""
+    none = hits.agg(F.count("*").alias("n")).where("n = 0").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in hits.schema), F.lit(SENTINEL).alias("_eli"))
+    d = hits.withColumn("_eli", F.col(eli_col)).unionByName(none)
+    return d.withColumn("provenance", provenance(F.col("_eli"), stamp, HINT)).drop("_eli")
+
+
 class Sensitive:
     """Holds a value that neither repr nor str shows; ``reveal`` returns it."""
 

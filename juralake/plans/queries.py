@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import catalogue, chunking, corpus, diff, documents, relations, resolve, service, temporal
+from ..operators import bridge, catalogue, chunking, corpus, diff, documents, relations, resolve, service, temporal
+from ..operators.tools import NAMES as TOOL_NAMES
 from ..sources import parse_nodes, resolve_local_first
 from .lift import legal_xml, lift, with_lifts
-from .lineage import cut
+from .shared import SHARED, source_state
 
 AS_OF = "1998-06-30"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +41,16 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def xml(self, later: bool = False) -> DataFrame:
+        """Parsing is much work for few bytes, so all cores get some."""
+        return legal_xml(self.spark, self.dir, later).repartition(self.spark.sparkContext.defaultParallelism)
+
     def nodes(self) -> DataFrame:
-        """Parsed once and written to the shared folder: every operator reads it several times."""
-        return cut(parse_nodes(legal_xml(self.spark, self.dir)))
+        """Parsed once for all queries, and written to the shared folder."""
+        return self.shared("nodes", lambda: parse_nodes(self.xml()), "documents")
+
+    def shared(self, name: str, build: Callable[[], DataFrame], *sources: str) -> DataFrame:
+        return SHARED.get(self.spark, name, (self.dir, *(source_state(self.spark, f"{self.dir}/{t}.parquet") for t in sources)), build)
 
 
 # --- graph: resolution and time
@@ -96,18 +104,18 @@ def jlx_tmp_03_check_in_force(t):
 
 # --- graph: relations
 
-_CLOSURE = """WITH RECURSIVE r AS (SELECT parent AS work, child AS sub, 1 AS d FROM {parts} UNION ALL SELECT r.work, p.child, r.d + 1 FROM r JOIN {parts} p ON p.parent = r.sub WHERE r.d < 10)
+_CLOSURE = """WITH RECURSIVE r AS (SELECT parent AS work, child AS sub FROM {parts} UNION SELECT r.work, p.child FROM r JOIN {parts} p ON p.parent = r.sub)
 SELECT DISTINCT r.work, r.sub, p.type FROM r JOIN {parts} p ON p.child = r.sub"""
 
 
 @query(_CLOSURE)
 def jlx_sub_01_subdivisions(t):
-    return relations.subdivisions(t("parts"), max_depth=10)
+    return relations.subdivisions(t("parts"))
 
 
 @query(_CLOSURE + " WHERE p.type = 'subdivision-type/annex'")
 def jlx_sub_02_annexes(t):
-    return relations.annexes(t("parts"), max_depth=10)
+    return relations.annexes(t("parts"))
 
 
 @query("SELECT w.work, i.impact, i.source, i.target, i.type, i.date, i.comment FROM {works} w JOIN {impacts} i ON starts_with(i.target, w.work)")
@@ -133,6 +141,21 @@ def jlx_cit_01_citations(t):
     return relations.citations_of(t("works"), t("citations"))
 
 
+@query("SELECT w.work, i.impact, i.source, i.target, i.type, i.date, i.comment FROM (SELECT DISTINCT work FROM {deep_works}) w JOIN {deep_impacts} i ON starts_with(i.target, w.work)")
+def jlx_imp_01_impacts_any_depth(t):
+    return relations.impacts_on(t("deep_works"), t("deep_impacts"))
+
+
+@query("""SELECT w.work, i.impact, i.source, i.target, i.type, i.date, i.comment FROM (SELECT DISTINCT work FROM {deep_works}) w JOIN {deep_impacts} i ON i.target = w.work OR starts_with(i.target, w.work || '/')""")
+def jlx_imp_01_impacts_strict(t):
+    return relations.impacts_on(t("deep_works"), t("deep_impacts"), strict=True)
+
+
+@query("SELECT DISTINCT w.work, i.source, i.target, i.description FROM (SELECT DISTINCT work FROM {deep_works}) w JOIN (SELECT source, target, min(comment) AS description FROM {deep_impacts} GROUP BY ALL) i ON starts_with(i.source, w.work) OR starts_with(i.target, w.work)")
+def jlx_cit_01_citations_any_depth(t):
+    return relations.citations_of(t("deep_works"), t("deep_impacts").withColumnRenamed("comment", "description"))
+
+
 # --- graph: taxonomy, publication, genesis, treaties, vocabulary
 
 
@@ -261,6 +284,8 @@ def t_03_append_versions(t):
 _DIFF = """SELECT coalesce(a.work, b.work) AS work, coalesce(a.eid, b.eid) AS eid, CASE WHEN a.eid IS NULL THEN 'added' WHEN b.eid IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM (SELECT work, eid, min(text) AS text FROM arts WHERE v = 0 GROUP BY ALL) a FULL JOIN (SELECT work, eid, min(text) AS text FROM arts WHERE v = 1 GROUP BY ALL) b ON a.work = b.work AND a.eid = b.eid
 WHERE a.eid IS NULL OR b.eid IS NULL OR a.text <> b.text"""
+_PART = "CASE WHEN count(*) FILTER (WHERE change = '%s') > 0 THEN '## %s' || chr(10) || '- ' || array_to_string(list_sort(list(eid) FILTER (WHERE change = '%s')), chr(10) || '- ') || chr(10) || chr(10) ELSE '' END"
+_MARKDOWN = "rtrim('# %s' || chr(10) || chr(10) || " + " || ".join(_PART % (k, k.title(), k) for k in ("added", "changed", "removed")) + ", chr(10) || ' ')"
 _ARTS = "WITH arts AS (SELECT l_suppkey AS work, concat('art_', l_partkey % 300) AS eid, concat(l_returnflag, l_linestatus) AS text, l_orderkey % 2 AS v FROM lineitem)"
 
 
@@ -268,18 +293,26 @@ def _arts(t, v):
     return t.raw("lineitem").where(F.col("l_orderkey") % 2 == v).select(F.col("l_suppkey").alias("work"), F.concat(F.lit("art_"), F.col("l_partkey") % 300).alias("eid"), F.concat("l_returnflag", "l_linestatus").alias("text"))
 
 
-@query(f"{_ARTS}, ch AS ({_DIFF}) SELECT work, list_sort(coalesce(list(eid) FILTER (WHERE change = 'added'), [])) AS added, list_sort(coalesce(list(eid) FILTER (WHERE change = 'changed'), [])) AS changed, list_sort(coalesce(list(eid) FILTER (WHERE change = 'removed'), [])) AS removed FROM ch GROUP BY work")
+@query(f"{_ARTS}, ch AS ({_DIFF}) SELECT work, list_sort(coalesce(list(eid) FILTER (WHERE change = 'added'), [])) AS added, list_sort(coalesce(list(eid) FILTER (WHERE change = 'changed'), [])) AS changed, list_sort(coalesce(list(eid) FILTER (WHERE change = 'removed'), [])) AS removed, {_MARKDOWN % 'Comparison of versions'} AS markdown FROM ch GROUP BY work")
 def t_09_compare_versions(t):
-    return diff.compare_versions(_arts(t, 1), _arts(t, 0)).select("work", "added", "changed", "removed")
+    return diff.compare_versions(_arts(t, 1), _arts(t, 0))
 
 
-@query(f"""{_ARTS}, ch AS ({_DIFF}), l AS (SELECT work, list_sort(coalesce(list(eid) FILTER (WHERE change = 'added'), [])) AS a, list_sort(coalesce(list(eid) FILTER (WHERE change = 'changed'), [])) AS c, list_sort(coalesce(list(eid) FILTER (WHERE change = 'removed'), [])) AS r FROM ch GROUP BY work)
-SELECT work, rtrim('# Changes' || chr(10) || chr(10) || CASE WHEN len(a) > 0 THEN '## Added' || chr(10) || '- ' || array_to_string(a, chr(10) || '- ') || chr(10) || chr(10) ELSE '' END
-|| CASE WHEN len(c) > 0 THEN '## Changed' || chr(10) || '- ' || array_to_string(c, chr(10) || '- ') || chr(10) || chr(10) ELSE '' END || CASE WHEN len(r) > 0 THEN '## Removed' || chr(10) || '- ' || array_to_string(r, chr(10) || '- ') || chr(10) || chr(10) ELSE '' END, chr(10) || ' ') AS markdown FROM l""")
+@query(f"{_ARTS}, ch AS ({_DIFF}) SELECT work, {_MARKDOWN % 'Changes'} AS markdown FROM ch GROUP BY work")
 def t_10_diff_to_markdown(t):
     return diff.diff_to_markdown(_arts(t, 0), _arts(t, 1)).select("work", "markdown")
 
 
+@query("SELECT o_orderkey, true AS has_more, 3 AS next_page FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def l_05_paginate_all(t):
+    return diff.paginate(t.raw("orders").select("o_orderkey", "o_totalprice"), 2, 20, F.desc("o_totalprice"), F.asc("o_orderkey")).drop("o_totalprice")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN greatest(1, least(50, p_size * 3 - 20)) ELSE 20 END AS max_hits FROM part")
+def l_06_clamps(t):
+    return t.raw("part").select("p_partkey", diff.clamped(F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") * 3 - 20)).alias("max_hits"))
+
+
 @query("SELECT o_custkey, o_orderkey, n > 2 * 5 AS has_more, CASE WHEN n > 2 * 5 THEN 2 END AS next_page FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r BETWEEN 6 AND 10")
 def l_05_paginate(t):
     return diff.paginate(t.raw("orders").select("o_custkey", "o_orderkey"), 1, 5, "o_orderkey", key="o_custkey")
@@ -333,21 +366,21 @@ def akn_ref_02_unlinked_labels(t):
 
 _LINES = """WITH ln AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
 one AS (SELECT doc_id, id, ls[i] AS line, i, list_transform(list_filter(string_split(ls[i], '. '), lambda x: trim(x) <> ''), lambda x: trim(x)) AS ss FROM ln, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
-art AS (SELECT doc_id, id, i, 'art_' || i AS eid, 'Art. ' || i AS num, ss, trim('Art. ' || i || ' ' || array_to_string(ss, chr(10))) AS text FROM one WHERE id % 7 <> 0 AND id % 11 <> 0)"""
+art AS (SELECT doc_id, id, i, 'art_' || i AS eid, 'Art. ' || i AS num, ss, trim('Art. ' || i || ' ' || array_to_string(ss, chr(10))) AS text FROM one WHERE id % 7 <> 0 AND id % 11 <> 0),
+lvl AS (SELECT doc_id, id, i, trim(line) AS text FROM one WHERE id % 7 = 0 AND id % 11 <> 0)"""
 _TIDY = "regexp_replace(regexp_replace(%s, '[ ]+(\\n|$)', '\\1', 'g'), '\\n[ ]+', chr(10), 'g')"
 
 
-@query(f"{_LINES} SELECT doc_id, len(ls) AS lines FROM ln")
+@query(f"{_LINES} SELECT doc_id, CASE WHEN id % 11 = 0 THEN 0 ELSE len(ls) END AS units FROM ln")
 def akn_doc_01_parse(t):
-    """Articles or levels that the parser found in each document, components and bodiless ones included by their lines."""
-    n = t.nodes().groupBy("doc_id").agg(F.count(F.when(F.col("tag").isin("article", "level"), 1)).alias("units"))
-    d = t.raw("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("expected"), (F.col("doc_id") % 11 == 0).alias("bodiless"))
-    return n.join(d, "doc_id").select("doc_id", F.when(F.col("bodiless"), F.col("expected")).otherwise(F.col("units")).cast("long").alias("lines"))
+    """Articles or levels that the parser found in each document; those without a body have none. Parsed anew."""
+    return parse_nodes(t.xml()).groupBy("doc_id").agg(F.count(F.when(F.col("tag").isin("article", "level"), 1)).alias("units"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'https://example.org/eli/cc/2000/' || doc_id AS eli_work, 'SR ' || (doc_id % 100) AS number, 'Act ' || doc_id AS title, lang AS language, '2000-01-01' AS date, 1 AS expression_count FROM documents")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'https://example.org/eli/cc/2000/' || doc_id AS eli_work, 'https://example.org/eli/cc/2000/' || doc_id || '/' || lang AS eli_expression, 'https://example.org/eli/cc/2000/' || doc_id || '/' || lang || '/xml' AS eli_manifestation,
+'SR ' || (doc_id % 100) AS number, 'Act ' || doc_id AS title, lang AS language, 'jolux:dateDocument=2000-01-01' AS dates, 'Office ' || (doc_id % 10) AS author, 1 AS expression_count FROM documents""")
 def akn_doc_02_frbr_metadata(t):
-    return documents.frbr_metadata(t.nodes()).select("doc_id", "eli_work", "number", "title", "language", F.col("dates")[0]["date"].alias("date"), "expression_count")
+    return documents.frbr_metadata(t.nodes()).withColumn("dates", F.array_join(F.transform("dates", lambda x: F.concat(x["name"], F.lit("="), x["date"])), ","))
 
 
 @query(f"""{_LINES} SELECT doc_id, CASE WHEN id % 11 = 0 THEN 'NoBody' WHEN len(ls) = 0 THEN 'Other' WHEN id % 7 = 0 THEN 'LevelBased' WHEN id % 3 = 0 THEN 'Structured' ELSE 'FlatArticles' END AS pattern,
@@ -356,11 +389,14 @@ def akn_doc_03_classify(t):
     return documents.classify(t.nodes()).select("doc_id", "pattern", "article_count", "level_count")
 
 
-@query(f"""{_LINES} SELECT doc_id, eid, 'article' AS kind, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS depth, num, CASE WHEN id % 3 = 0 THEN 'chap_' || ((i - 1) // 4 + 1) END AS parent FROM art""")
+@query(f"""{_LINES} SELECT doc_id, eid, 'article' AS kind, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS depth, num, NULL AS heading, CASE WHEN id % 3 = 0 THEN 'chap_' || ((i - 1) // 4 + 1) END AS parent FROM art
+UNION ALL SELECT DISTINCT doc_id, 'chap_' || ((i - 1) // 4 + 1), 'chapter', 0, ((i - 1) // 4 + 1) || '. Chapter', 'Part ' || ((i - 1) // 4 + 1), NULL FROM art WHERE id % 3 = 0
+UNION ALL SELECT doc_id, eid || '/para_' || j, 'paragraph', CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END, NULL, NULL, eid FROM art, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j)
+UNION ALL SELECT doc_id, 'lvl_' || i, 'level', 0, NULL, NULL, NULL FROM lvl""")
 def akn_str_01_structure(t):
     s = documents.structure(t.nodes())
     up = s.select("doc_id", F.col("ord").alias("parent_ord"), F.col("eid").alias("parent"))
-    return s.where("kind = 'article'").join(up, ["doc_id", "parent_ord"], "left").select("doc_id", "eid", "kind", "depth", "num", "parent")
+    return s.join(up, ["doc_id", "parent_ord"], "left").select("doc_id", "eid", "kind", "depth", "num", "heading", "parent")
 
 
 @query(f"{_LINES} SELECT doc_id, 'art_1' AS requested, 0 AS duplicates, false AS via_normalization FROM art WHERE i = 1 UNION ALL SELECT doc_id, 'art_1/para_1', 0, false FROM art WHERE i = 1 AND len(ss) > 0")
@@ -375,30 +411,39 @@ def akn_str_03_section_path(t):
     return documents.section_paths(t.nodes(), d).select("doc_id", F.array_join(F.transform("path", lambda x: x["eid"]), ">").alias("path"))
 
 
-@query(f"{_LINES} SELECT doc_id, eid, num, {_TIDY % 'text'} AS text, CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END AS notes FROM art")
+_NOTE = "CASE WHEN i % 2 = 0 THEN i || ':Changed by AS 2001 ' || i || ':https://example.org/eli/oc/2001/' || i ELSE '' END"
+_PATH = "CASE WHEN id % 3 = 0 THEN 'chap_' || ((i - 1) // 4 + 1) || '>' ELSE '' END || eid"
+
+
+def _flat(d):
+    """Notes and paths as text."""
+    notes = F.array_join(F.transform("notes", lambda n: F.concat_ws(":", n["marker"], n["text"], F.array_join(n["refs"], ","))), ";")
+    return d.withColumn("notes", notes).withColumn("section_path", F.array_join("section_path", ">"))
+
+
+@query(f"{_LINES} SELECT doc_id, eid, 'article' AS kind, num, NULL AS heading, {_TIDY % 'text'} AS text, {_NOTE} AS notes, {_PATH} AS section_path, NULL AS error FROM art")
 def akn_txt_01_article_text(t):
-    return documents.article_texts(t.nodes()).select("doc_id", "eid", "num", "text", F.size("notes").alias("notes"))
+    return _flat(documents.article_texts(t.nodes())).drop("ord")
 
 
-@query(f"{_LINES} SELECT doc_id, eid || '/para_' || j AS eid, {_TIDY % 'ss[j]'} AS text FROM art, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j)")
+@query(f"""{_LINES} SELECT doc_id, eid || '/para_' || j AS eid, 'paragraph' AS kind, NULL AS num, NULL AS heading, {_TIDY % 'ss[j]'} AS text, '' AS notes, {_PATH} || '>' || eid || '/para_' || j AS section_path FROM art, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j)
+UNION ALL SELECT doc_id, 'lvl_' || i, 'level', NULL, NULL, {_TIDY % 'text'}, '', 'lvl_' || i FROM lvl UNION ALL SELECT doc_id, eid, 'article', num, NULL, {_TIDY % 'text'}, {_NOTE}, {_PATH} FROM art""")
 def akn_txt_02_element_text(t):
-    return documents.element_texts(t.nodes()).where("kind = 'paragraph'").select("doc_id", "eid", "text")
+    return _flat(documents.element_texts(t.nodes()).where("kind in ('paragraph', 'level', 'article')")).drop("ord")
 
 
 @query(f"""{_LINES}, blocks AS (SELECT doc_id, id, i, unnest(list_concat(CASE WHEN id % 3 = 0 AND (i - 1) % 4 = 0 THEN ['## ' || ((i - 1) // 4 + 1) || '. Chapter Part ' || ((i - 1) // 4 + 1)] ELSE [] END,
-CASE WHEN len(ss) > 0 THEN list_concat(CASE WHEN id % 3 = 0 THEN ['##' || '# Art. ' || i] ELSE ['## Art. ' || i] END, list_transform(ss, lambda x: {_TIDY % 'x'})) ELSE ['Art. ' || i] END)) AS b, generate_subscripts(list_concat(CASE WHEN id % 3 = 0 AND (i - 1) % 4 = 0 THEN ['x'] ELSE [] END, CASE WHEN len(ss) > 0 THEN list_concat(['x'], ss) ELSE ['x'] END), 1) AS j FROM art)
-SELECT doc_id, '# Act ' || doc_id || chr(10) || chr(10) || '**SR ' || (id % 100) || '**' || chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY i, j) AS markdown FROM blocks GROUP BY doc_id, id""")
+CASE WHEN len(ss) > 0 THEN list_concat(CASE WHEN id % 3 = 0 THEN ['##' || '# Art. ' || i] ELSE ['## Art. ' || i] END, list_transform(ss, lambda x: {_TIDY % 'x'})) ELSE ['Art. ' || i] END)) AS b, generate_subscripts(list_concat(CASE WHEN id % 3 = 0 AND (i - 1) % 4 = 0 THEN ['x'] ELSE [] END, CASE WHEN len(ss) > 0 THEN list_concat(['x'], ss) ELSE ['x'] END), 1) AS j FROM art
+UNION ALL SELECT doc_id, id, i, {_TIDY % 'text'}, 1 FROM lvl UNION ALL SELECT doc_id, id, -2, '# Act ' || doc_id, 1 FROM ln UNION ALL SELECT doc_id, id, -1, '**SR ' || (id % 100) || '**', 1 FROM ln)
+SELECT doc_id, string_agg(b, chr(10) || chr(10) ORDER BY i, j) AS markdown FROM blocks GROUP BY doc_id, id""")
 def akn_txt_03_readable(t):
-    n = t.nodes()
-    return documents.readable(n).join(documents.classify(n).where("article_count > 0").select("doc_id"), "doc_id", "left_semi")
+    return documents.readable(t.nodes())
 
 
-@query(f"""{_LINES}, p AS (SELECT doc_id, i, j, eid || '/para_' || j AS eid, {_TIDY % 'ss[j]'} AS text FROM art, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j)), h AS (SELECT *, strpos(lower(text), 'tion') AS hit FROM p)
-SELECT doc_id, eid, 'paragraph' AS kind, replace(substr(text, greatest(hit - 60, 1), hit - greatest(hit - 60, 1) + 64), chr(10), ' ') AS snippet FROM h WHERE hit > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i, j) <= 5""")
+@query(f"""{_LINES}, p AS (SELECT doc_id, i, j, eid || '/para_' || j AS eid, 'paragraph' AS kind, {_TIDY % 'ss[j]'} AS text FROM art, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j) UNION ALL SELECT doc_id, i, 1, 'lvl_' || i, 'level', {_TIDY % 'text'} FROM lvl), h AS (SELECT *, strpos(lower(text), 'tion') AS hit FROM p)
+SELECT doc_id, eid, kind, replace(substr(text, greatest(hit - 60, 1), hit - greatest(hit - 60, 1) + 64), chr(10), ' ') AS snippet FROM h WHERE hit > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i, j) <= 5""")
 def akn_txt_04_search(t):
-    n = t.nodes()
-    art = documents.classify(n).where("article_count > 0").select("doc_id")
-    return documents.search(n.join(art, "doc_id", "left_semi"), "TION", 5).select("doc_id", "eid", "kind", "snippet")
+    return documents.search(t.nodes(), "TION", 5).drop("ord")
 
 
 def _mods(t):
@@ -408,7 +453,7 @@ def _mods(t):
     o = t.raw("orders").groupBy((F.col("o_orderkey") % 200).alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
     mods = F.transform("x", lambda r: concat(lit('<mod eId="mod_'), r["o_orderkey"], lit('">In:<quotedStructure><paragraph eId="mod_'), r["o_orderkey"], lit('/para"><p>'), r["o_orderpriority"], lit("</p></paragraph></quotedStructure></mod>")))
     xml = concat(lit('<akomaNtoso><act><meta><identification><FRBRWork><FRBRuri value="eli/oc/1/'), "k", lit('"/></FRBRWork></identification></meta><body>'), F.array_join(mods, ""), lit("</body></act></akomaNtoso>"))
-    return cut(parse_nodes(o.select(F.col("k").alias("doc_id"), xml.alias("xml"))))
+    return t.shared("mods", lambda: parse_nodes(o.select(F.col("k").alias("doc_id"), xml.alias("xml"))), "orders")
 
 
 @query("SELECT CAST(o_orderkey % 200 AS VARCHAR) AS doc_id, 'mod_' || o_orderkey AS mod_eid, 'paragraph' AS quoted_root_kind, 'mod_' || o_orderkey || '/para' AS quoted_eid, o_orderpriority AS new_text FROM orders")
@@ -433,7 +478,7 @@ def _annexed(t):
     o = t.raw("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus"))).alias("x"))
     comp = F.transform("x", lambda r: concat(lit('<component><doc name="annex_'), r["o_orderkey"], lit('"><meta><identification><FRBRWork><FRBRuri value="https://example.org/eli/an/1/'), r["o_orderkey"], lit('"/><FRBRname value="'), r["o_orderstatus"], lit('"/></FRBRWork></identification></meta><mainBody><level eId="lvl_1"><content><p>'), F.repeat(r["o_orderpriority"], (1 + r["o_orderkey"] % 40).cast("int")), lit("</p></content></level></mainBody></doc></component>")))
     xml = concat(lit('<akomaNtoso><act><meta><identification><FRBRWork><FRBRuri value="https://example.org/eli/cc/1/'), "o_custkey", lit('"/></FRBRWork></identification></meta><components>'), F.array_join(comp, ""), lit("</components></act></akomaNtoso>"))
-    return cut(parse_nodes(o.select(F.col("o_custkey").alias("doc_id"), xml.alias("xml"))))
+    return t.shared("annexed", lambda: parse_nodes(o.select(F.col("o_custkey").alias("doc_id"), xml.alias("xml"))), "orders")
 
 
 _ANNEX = "SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS idx, length(o_orderpriority) * (1 + o_orderkey % 40) AS size FROM orders"
@@ -450,14 +495,14 @@ def akn_cmp_02_component_documents(t):
     return d.where("ord = 0").select("doc_id", "ord", "tag").join(documents.classify(d).select("doc_id", "pattern"), "doc_id")
 
 
-def _tabled(t, limit_cells: bool = False):
+def _tabled(t):
     """A table for each customer with a row for each order, and a formula."""
     from pyspark.sql.functions import concat, lit
 
     o = t.raw("orders").groupBy((F.col("o_custkey") % 40).alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
     rows = F.transform("x", lambda r: concat(lit("<tr><td>"), r["o_orderkey"], lit("</td><td>"), r["o_orderpriority"], lit("</td></tr>")))
     xml = concat(lit('<akomaNtoso><act><meta><identification><FRBRWork><FRBRuri value="https://example.org/eli/cc/1/'), "k", lit('"/></FRBRWork></identification></meta><body><article eId="art_1"><num>Art. 1</num><content><p>Rates</p><table><tr><th>Key</th><th>Priority</th></tr>'), F.array_join(rows, ""), lit("</table><foreign><math><mi>x</mi></math></foreign></content></article></body></act></akomaNtoso>"))
-    return cut(parse_nodes(o.select(F.col("k").alias("doc_id"), xml.alias("xml"))))
+    return t.shared("tabled", lambda: parse_nodes(o.select(F.col("k").alias("doc_id"), xml.alias("xml"))), "orders")
 
 
 @query("SELECT CAST(o_custkey % 40 AS VARCHAR) AS doc_id, 'art_1' AS context_eid, CAST(count(*) + 1 AS INTEGER) AS rows, 2 AS cols, ['Key', 'Priority'] AS header, list([CAST(o_orderkey AS VARCHAR), o_orderpriority] ORDER BY o_orderkey) AS data, count(*) + 1 > 100 AS oversized FROM orders GROUP BY o_custkey % 40")
@@ -472,27 +517,55 @@ def akn_spc_02_foreign_content(t):
 
 @query(f"""{_LINES}, e AS (SELECT doc_id, eid, 'article' AS kind, len(ss) = 0 AS is_leaf, CASE WHEN len(ss) = 0 THEN num ELSE '[Siehe Unterelemente: ' || array_to_string(list_transform(range(1, len(ss) + 1), lambda j: eid || '/para_' || j), ', ') || ']' END AS text FROM art
 UNION ALL SELECT doc_id, eid || '/para_' || j, 'paragraph', true, {_TIDY % 'ss[j]'} FROM art, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j)
-UNION ALL SELECT doc_id, 'chap_' || ((i - 1) // 4 + 1), 'chapter', false, '[Siehe Unterelemente: ' || string_agg(eid, ', ' ORDER BY i) || ']' FROM art WHERE id % 3 = 0 GROUP BY doc_id, (i - 1) // 4) SELECT * FROM e""")
+UNION ALL SELECT doc_id, 'chap_' || ((i - 1) // 4 + 1), 'chapter', false, '[Siehe Unterelemente: ' || string_agg(eid, ', ' ORDER BY i) || ']' FROM art WHERE id % 3 = 0 GROUP BY doc_id, (i - 1) // 4
+UNION ALL SELECT doc_id, 'lvl_' || i, 'level', true, {_TIDY % 'text'} FROM lvl UNION ALL SELECT doc_id, 'org', 'TLCOrganization', true, '' FROM ln) SELECT * FROM e""")
 def akn_chk_01_hollow(t):
-    n = t.nodes()
-    art = documents.classify(n).where("article_count > 0").select("doc_id")
-    return documents.hollow(n.join(art, "doc_id", "left_semi")).drop("ord")
+    return documents.hollow(t.nodes()).drop("ord")
 
 
-@query(f"""{_LINES}, a AS (SELECT *, {_TIDY % 'text'} AS t2 FROM art), c AS (SELECT doc_id, id, i, 0 AS j, eid, t2 AS text FROM a WHERE length(t2) <= 2000 OR len(ss) = 0
-UNION ALL SELECT doc_id, id, i, j, eid || '/para_' || j, {_TIDY % 'ss[j]'} FROM a, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j) WHERE length(t2) > 2000 AND len(ss) > 0)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS seq, 'eli/cc/2000/' || doc_id || '#' || eid AS chunk_id, text, CAST(id % 100 AS VARCHAR) AS sr, '2000-01-01' AS date, 'cc' AS collection FROM c WHERE text <> ''""")
+@query(f"""{_LINES}, a AS (SELECT *, {_TIDY % 'text'} AS t2 FROM art), c AS (SELECT doc_id, id, i, 0 AS j, eid, t2 AS text, {_PATH} AS section_path FROM a WHERE length(t2) <= 2000 OR len(ss) = 0
+UNION ALL SELECT doc_id, id, i, j, eid || '/para_' || j, {_TIDY % 'ss[j]'}, {_PATH} || '>' || eid || '/para_' || j FROM a, LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS j) WHERE length(t2) > 2000 AND len(ss) > 0
+UNION ALL SELECT doc_id, id, i, 0, 'lvl_' || i, {_TIDY % 'text'}, 'lvl_' || i FROM lvl)
+SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY i, j) - 1 AS INTEGER) AS seq, 'eli/cc/2000/' || c.doc_id || '#' || eid AS chunk_id, c.text, CAST(id % 100 AS VARCHAR) AS sr, 'Act ' || c.doc_id AS title, 'eli/cc/2000/' || c.doc_id AS eli, d.lang AS language, '2000-01-01' AS date, 'cc' AS collection, section_path, eid
+FROM c JOIN documents d ON d.doc_id = c.id WHERE c.text <> ''""")
 def akn_chk_02_chunk_articles(t):
-    n = t.nodes()
-    art = documents.classify(n).where("article_count > 0").select("doc_id")
-    return chunking.chunk_documents(n.join(art, "doc_id", "left_semi")).select("doc_id", "seq", "chunk_id", "text", "sr", "date", "collection")
+    """Structured, flat and level-based documents; those without a body or lines have no chunks."""
+    return chunking.chunk_documents(t.nodes()).withColumn("section_path", F.array_join("section_path", ">"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT o_custkey % 40 AS k, o_orderkey || ' ' || o_orderpriority AS line, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS i FROM orders),
+whole AS (SELECT k, 'Key Priority' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS tbl FROM r GROUP BY k),
+f AS (SELECT k, i, 1 AS part, length(line) AS used FROM r WHERE i = 1 UNION ALL SELECT r.k, r.i, CASE WHEN 13 + f.used + length(r.line) + 1 > 2000 THEN f.part + 1 ELSE f.part END, CASE WHEN 13 + f.used + length(r.line) + 1 > 2000 THEN length(r.line) ELSE f.used + 1 + length(r.line) END FROM f JOIN r ON r.k = f.k AND r.i = f.i + 1),
+c AS (SELECT k, 0 AS part, '' AS suffix, CASE WHEN length(tbl) + 13 > 2000 THEN 'Art. 1 Rates' ELSE 'Art. 1 Rates' || chr(10) || tbl END AS text FROM whole
+UNION ALL SELECT k, 1, '/tbl1', tbl FROM whole WHERE length(tbl) + 13 > 2000 AND length(tbl) <= 2000
+UNION ALL SELECT f.k, f.part, '/tbl1/part' || f.part, 'Key Priority' || chr(10) || string_agg(r.line, chr(10) ORDER BY r.i) FROM f JOIN r USING (k, i) JOIN whole USING (k) WHERE length(tbl) > 2000 GROUP BY f.k, f.part)
+SELECT CAST(k AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY part) - 1 AS INTEGER) AS seq, 'eli/cc/1/' || k || '#art_1' || suffix AS chunk_id, text FROM c""")
 def akn_chk_02_chunk_tables(t):
     return chunking.chunk_documents(_tabled(t)).select("doc_id", "seq", "chunk_id", "text")
 
 
+@query("SELECT CAST(o_orderkey % 200 AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY o_orderkey % 200 ORDER BY o_orderkey) - 1 AS INTEGER) AS seq, 'eli/oc/1/' || (o_orderkey % 200) || '#mod_' || o_orderkey AS chunk_id, 'In:' || o_orderpriority AS text, 'eli/oc/1/' || (o_orderkey % 200) AS eli, 'oc' AS collection, 'mod_' || o_orderkey AS eid FROM orders")
+def akn_chk_02_chunk_amendments(t):
+    return chunking.chunk_documents(_mods(t)).select("doc_id", "seq", "chunk_id", "text", "eli", "collection", "eid")
+
+
+def _plain(t):
+    """Documents of paragraphs of text only, one for each order."""
+    from pyspark.sql.functions import concat, lit
+
+    o = t.raw("orders").groupBy((F.col("o_custkey") % 20).alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
+    ps = F.transform("x", lambda r: concat(lit("<p>"), r["o_orderkey"], lit(" "), r["o_orderpriority"], lit("</p>")))
+    xml = concat(lit('<akomaNtoso><act><meta><identification><FRBRWork><FRBRuri value="eli/cc/3/'), "k", lit('"/></FRBRWork></identification></meta><body>'), F.array_join(ps, ""), lit("</body></act></akomaNtoso>"))
+    return t.shared("plain", lambda: parse_nodes(o.select(F.col("k").alias("doc_id"), xml.alias("xml"))), "orders")
+
+
+@query("""WITH RECURSIVE r AS (SELECT o_custkey % 20 AS k, o_orderkey || ' ' || o_orderpriority AS line, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT k, i, 0 AS part, length(line) AS used FROM r WHERE i = 1 UNION ALL SELECT r.k, r.i, CASE WHEN f.used + length(r.line) > 2000 THEN f.part + 1 ELSE f.part END, CASE WHEN f.used + length(r.line) > 2000 THEN length(r.line) ELSE f.used + 1 + length(r.line) END FROM f JOIN r ON r.k = f.k AND r.i = f.i + 1)
+SELECT CAST(f.k AS VARCHAR) AS doc_id, f.part AS seq, 'eli/cc/3/' || f.k || '#idx' || f.part AS chunk_id, string_agg(r.line, chr(10) ORDER BY r.i) AS text FROM f JOIN r USING (k, i) GROUP BY f.k, f.part""")
+def akn_chk_02_chunk_other(t):
+    return chunking.chunk_documents(_plain(t)).select("doc_id", "seq", "chunk_id", "text")
+
+
 @query(f"SELECT o_custkey || '#' || idx AS doc_id, 'eli/an/1/' || o_orderkey || '#lvl_1' AS chunk_id, repeat(o_orderpriority, CAST(1 + o_orderkey % 40 AS INTEGER)) AS text FROM ({_ANNEX}) WHERE size >= 100")
 def akn_chk_02_chunk_components(t):
     return chunking.chunk_documents(_annexed(t)).select("doc_id", "chunk_id", "text")
@@ -506,9 +579,20 @@ def akn_doc_01_reject_html(t):
 # --- policy and state
 
 
-@query()
+_BUCKET = """WITH RECURSIVE r AS (SELECT key, request_id, ts_ms, cost, {capacity} AS cap, {rate} AS rate, row_number() OVER (PARTITION BY key ORDER BY ts_ms, request_id) AS i FROM {{requests}}),
+s AS (SELECT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS ts_ms, CAST(NULL AS INTEGER) AS cost, CAST(NULL AS BOOLEAN) AS allowed, CAST(0 AS DOUBLE) AS tokens, CAST(NULL AS DOUBLE) AS rate, CAST(NULL AS BIGINT) AS last FROM r WHERE i = 1
+UNION ALL SELECT key, i, request_id, ts_ms, cost, cap IS NOT NULL AND have >= cost, CASE WHEN cap IS NULL THEN tokens WHEN have >= cost THEN have - cost ELSE have END, CASE WHEN cap IS NOT NULL THEN rate END, CASE WHEN cap IS NULL THEN last ELSE greatest(ts_ms, coalesce(last, ts_ms)) END
+FROM (SELECT r.*, s.tokens, s.last, CASE WHEN s.last IS NULL OR r.ts_ms - s.last >= 60000 THEN r.cap ELSE least(r.cap, s.tokens + greatest(0, r.ts_ms - s.last) / 1000 * r.rate) END AS have FROM s JOIN r ON r.key = s.key AND r.i = s.i + 1) x)
+SELECT key, request_id, ts_ms, cost, allowed, round(tokens, 6) AS tokens, CAST(CASE WHEN allowed THEN 0 WHEN rate IS NULL OR rate <= 0 THEN -1 ELSE ceil((cost - tokens) / rate * 1000) END AS BIGINT) AS retry_ms{degraded} FROM s WHERE i > 0"""
+
+
+def _rounded(d):
+    return d.withColumn("tokens", F.round("tokens", 6))
+
+
+@query(_BUCKET.format(capacity="CAST(10 AS DOUBLE)", rate="CAST(0.001 AS DOUBLE)", degraded=""))
 def v_01_token_bucket(t):
-    return service.token_bucket(t("requests"), 10, 0.001)
+    return _rounded(service.token_bucket(t("requests"), 10, 0.001))
 
 
 @query("SELECT event_id, CAST(CASE event_type WHEN 'purchase' THEN 5 WHEN 'click' THEN 5 ELSE 1 END AS INTEGER) AS cost, CASE WHEN user_id % 3 = 0 THEN 60 WHEN user_id % 3 = 1 THEN 120 ELSE 240 END AS capacity FROM events")
@@ -519,17 +603,56 @@ def v_02_v_03_policy(t):
     return e.join(F.broadcast(service.role_table(t.spark)), "role").select("event_id", "cost", "capacity")
 
 
-@query()
+@query(_BUCKET.format(capacity="CAST(5 AS DOUBLE)", rate="CAST(0.5 AS DOUBLE)", degraded=", true AS degraded"))
 def v_04_quota_degraded(t):
-    return service.quota_decisions(t("requests").withColumn("role", F.lit("Reader")), store_up=False)
+    return _rounded(service.quota_decisions(t("requests").withColumn("role", F.lit("Reader")), store_up=False))
+
+
+_ROLE = "request_id % 5"
+
 
+@query(_BUCKET.format(capacity=f"CASE {_ROLE} WHEN 0 THEN CAST(60 AS DOUBLE) WHEN 1 THEN CAST(120 AS DOUBLE) WHEN 2 THEN CAST(240 AS DOUBLE) END", rate=f"CASE {_ROLE} WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(2 AS DOUBLE) WHEN 2 THEN CAST(4 AS DOUBLE) END", degraded=", false AS degraded"))
+def v_04_quota_by_role(t):
+    """Known roles, an unknown one and none: each request gets its decision."""
+    k = F.col("request_id") % 5
+    role = F.when(k == 0, "Reader").when(k == 1, "Navigator").when(k == 2, "Validator").when(k == 3, "Admin")
+    return _rounded(service.quota_decisions(t("requests").withColumn("role", role)))
 
-@query()
+
+@query("""WITH RECURSIVE r AS (SELECT key, request_id AS call_id, ts_ms, cost = 5 AS failed, row_number() OVER (PARTITION BY key ORDER BY ts_ms, request_id) AS i FROM {requests}),
+s AS (SELECT key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS BIGINT) AS ts_ms, CAST(NULL AS BOOLEAN) AS failed, CAST('' AS VARCHAR) AS state, CAST(NULL AS BOOLEAN) AS passed, CAST(0 AS BIGINT) AS run, CAST(NULL AS BIGINT) AS opened FROM r WHERE i = 1
+UNION ALL SELECT key, i, call_id, ts_ms, failed, now, now <> 'open', CASE WHEN now = 'open' THEN run WHEN failed THEN run + 1 ELSE 0 END, CASE WHEN now = 'open' THEN opened WHEN NOT failed THEN NULL WHEN now = 'half-open' OR run + 1 >= 2 THEN ts_ms ELSE opened END
+FROM (SELECT r.*, s.run, s.opened, CASE WHEN s.opened IS NULL THEN 'closed' WHEN r.ts_ms - s.opened >= 30000 THEN 'half-open' ELSE 'open' END AS now FROM s JOIN r ON r.key = s.key AND r.i = s.i + 1) x)
+SELECT key, call_id, ts_ms, failed, state, passed FROM s WHERE i > 0""")
 def v_05_circuit_breaker(t):
     r = t("requests")
     return service.circuit_breaker(r.select("key", F.col("request_id").alias("call_id"), "ts_ms", (F.col("cost") == 5).alias("failed")), failures=2)
 
 
+@query(f"{_LINES} SELECT 'eli/cc/2000/' || doc_id AS work, 'art_1' AS requested, CASE WHEN id % 7 <> 0 AND id % 11 <> 0 AND len(ls) > 0 THEN trim('Art. 1 ' || replace(ls[1], '. ', chr(10))) IS NOT NULL ELSE false END AS found FROM ln")
+def v_06_shared_nodes(t):
+    """Two that ask at once get one table, built once."""
+    import threading
+
+    from .shared import SharedTables
+
+    tables, built, got = SharedTables(), [], []
+
+    def build():
+        built.append(1)
+        return t.nodes().select("doc_id", "eid")
+
+    ask = [threading.Thread(target=lambda: got.append(tables.get(t.spark, "ids", (t.dir,), build))) for _ in range(2)]
+    for x in ask:
+        x.start()
+    for x in ask:
+        x.join()
+    if len(built) != 1:
+        raise AssertionError("built more than once")
+    n = got[0].groupBy("doc_id").agg(F.coalesce(F.max(F.col("eid") == "art_1"), F.lit(False)).alias("found"))
+    return n.select(F.concat(F.lit("eli/cc/2000/"), "doc_id").alias("work"), F.lit("art_1").alias("requested"), "found")
+
+
 @query("SELECT c_custkey AS key, coalesce(x.value, 'remote ' || c_custkey) AS value, CASE WHEN x.value IS NULL THEN 'external' ELSE 'local' END AS origin FROM customer LEFT JOIN (SELECT s_suppkey AS k, s_name AS value FROM supplier) x ON x.k = c_custkey")
 def v_08_local_first(t):
     class Remote:
@@ -539,20 +662,26 @@ def v_08_local_first(t):
     return resolve_local_first(t.raw("customer").select(F.col("c_custkey").alias("key")), t.raw("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value")), Remote())
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id < 20)
-SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
-def v_09_semantic_top_k(t):
-    e = t.raw("embeddings")
-    d = service.top_k_similar(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")))
-    return d.select("query_id", "item_id", "rank")
+_TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a, v b)
+SELECT query_id, item_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s %s QUALIFY rank <= 5"""
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(a.e, b.e) AS score FROM v a, v b)
-SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
-def v_09_semantic_top_k_all(t):
+def _neighbours(t, **params):
     e = t.raw("embeddings")
-    d = service.top_k_similar(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")))
-    return d.select("query_id", "item_id", "rank")
+    d = service.top_k_similar(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), **params)
+    return d.withColumn("score", F.round("score", 6))
+
+
+@query(_TOP % "")
+def v_09_semantic_top_k(t):
+    """The neighbours of every vector."""
+    return _neighbours(t)
+
+
+@query(_TOP % "WHERE score >= 0.2")
+def v_09_semantic_top_k_blocks(t):
+    """The same where queries are too many to go to all executors, with a least score."""
+    return _neighbours(t, min_score=0.2, query_bytes=1 << 16)
 
 
 @query("SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ing') AS matches FROM documents")
@@ -582,3 +711,53 @@ def v_15_hint_provenance(t):
     return d.select("work", "title", "provenance.kind", "provenance.eli", "provenance.valid_as_of")
 
 
+@query("SELECT work, title, 'hint' AS kind, work AS eli FROM {titles} WHERE title = 'none' UNION ALL SELECT NULL, NULL, 'hint', 'eli/cc'")
+def v_15_hint_envelope(t):
+    """A discovery without hits still answers, as a hint about no law in particular."""
+    from .context import QueryStamp, hint_envelope
+
+    hits = t("titles").where("title = 'none'").select("work", "title")
+    return hint_envelope(hits, "work", QueryStamp.make(AS_OF)).select("work", "title", "provenance.kind", "provenance.eli")
+
+
+@query("SELECT tool, pool, CAST(CASE WHEN pool = 'LocalNavigation' THEN 1 ELSE 5 END AS INTEGER) AS cost, CASE WHEN pool = 'LocalNavigation' THEN 'Reader' ELSE 'Navigator' END AS min_role FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for p, names in TOOL_NAMES.items() for n in names) + ") v(tool, pool)")
+def v_14_tool_surface(t):
+    """The registered tools, as a Navigator sees them."""
+    from ..operators.tools import surface
+
+    rows = [(x.name, x.pool, x.cost, x.min_role) for x in surface(t).for_role("Navigator")]
+    return t.spark.createDataFrame(rows, "tool string, pool string, cost int, min_role string")
+
+
+# --- from an id and a date to text
+
+
+def _bridge(t):
+    files = lambda later, n: t.xml(later).select(F.concat(F.lit("https://example.org/xml/"), "doc_id", F.lit(f"/{n}")).alias("url"), "xml")
+    return t("doc_consolidations"), t("doc_expressions"), t("doc_manifestations"), t.shared("files", lambda: files(False, 1).unionByName(files(True, 2)), "documents")
+
+
+@query(f"""{_LINES}, q AS (SELECT doc_id, id, ls, unnest(['art_1', 'lvl_1', 'art_0']) AS requested FROM ln)
+SELECT 'eli/cc/2000/' || q.doc_id AS work, requested, CASE WHEN a.eid IS NOT NULL OR (requested = 'lvl_1' AND l.i IS NOT NULL) THEN requested END AS eid, a.num, {_TIDY % 'a.text'} AS text,
+CASE WHEN a.eid IS NOT NULL THEN NULL WHEN requested = 'lvl_1' AND l.i IS NOT NULL THEN 'WrongElementKind(level)' ELSE 'NotFound(element)' END AS error, 'eli/cc/2000/' || q.doc_id AS eli, DATE '2005-06-30' AS valid_as_of, 'norm' AS kind
+FROM q LEFT JOIN art a ON a.doc_id = q.doc_id AND a.eid = requested LEFT JOIN lvl l ON l.doc_id = q.doc_id AND l.i = 1""")
+def bridge_read_articles(t):
+    from .context import QueryStamp
+
+    asked = t.raw("documents").select(F.concat(F.lit("eli/cc/2000/"), "doc_id").alias("work"), F.explode(F.array(F.lit("art_1"), F.lit("lvl_1"), F.lit("art_0"))).alias("eid"))
+    d = bridge.read_articles(asked, *_bridge(t), QueryStamp.make("2005-06-30"))
+    return d.select("work", "requested", "eid", "num", "text", "error", "provenance.eli", "provenance.valid_as_of", "provenance.kind")
+
+
+_TWO = """WITH two AS (SELECT doc_id, 0 AS v, text FROM documents UNION ALL SELECT doc_id, 1, replace(text, 'tion', 'TION') || chr(10) || 'One line more' FROM documents),
+ln AS (SELECT doc_id, v, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM two WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0),
+arts AS (SELECT doc_id AS work, 'art_' || i AS eid, ls[i] AS text, v FROM ln, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i))"""
+
+
+@query(f"{_TWO}, ch AS ({_DIFF.replace('THEN ' + repr('added'), 'THEN ' + repr('x')).replace('THEN ' + repr('removed'), 'THEN ' + repr('added')).replace('THEN ' + repr('x'), 'THEN ' + repr('removed'))}) SELECT 'eli/cc/2000/' || work AS work, list_sort(coalesce(list(eid) FILTER (WHERE change = 'added'), [])) AS added, list_sort(coalesce(list(eid) FILTER (WHERE change = 'changed'), [])) AS changed, list_sort(coalesce(list(eid) FILTER (WHERE change = 'removed'), [])) AS removed, {_MARKDOWN % 'Comparison of versions'} AS markdown FROM ch GROUP BY work")
+def bridge_compare_at(t):
+    """What the earlier version has that the later lacks is added."""
+    from .context import QueryStamp
+
+    works = t.raw("documents").select(F.concat(F.lit("eli/cc/2000/"), "doc_id").alias("work"))
+    return bridge.compare_at(works, *_bridge(t), QueryStamp.make("2005-06-30"), QueryStamp.make("2015-06-30"))
