@@ -16,7 +16,7 @@ from .service import Registry, Tool
 NAMES = {
     "LocalNavigation": ("read_article", "read_element", "get_structure", "search_text", "get_metadata", "get_references", "get_modifications", "compare_versions", "extract_tables", "list_components", "detect_foreign_content", "read_document"),
     "Discovery": ("search_law", "resolve_sr_number", "find_related_topic"),
-    "JoluxMetadata": ("check_in_force", "list_versions", "resolve_consolidation_at", "get_impacts", "get_outgoing_impacts", "get_article_history", "get_citations", "get_taxonomy", "get_subdivisions", "list_annexes"),
+    "JoluxMetadata": ("check_in_force", "get_article_history", "get_citations", "get_impacts", "get_outgoing_impacts", "get_subdivisions", "get_taxonomy", "list_annexes", "list_versions", "resolve_consolidation_at"),
 }
 _TYPES = {str: "string", int: "integer", bool: "boolean"}
 
