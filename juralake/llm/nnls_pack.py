@@ -3,10 +3,12 @@
 Lengths (tokens; overlong documents are first cut into full windows and a rest)
 are rounded up to multiples of ``grain`` and counted. Strategies are all
 combinations of up to ``depth`` lengths that fill a window exactly. Their repeat
-counts x >= 0 minimise |A x - histogram| with under-use weighted less than
-over-use is; they are rounded down to what the histogram can serve, and the
-pieces that remain are packed greedily (longest first, each into the fullest
-window that holds it) with whole groups of equal windows moved at once.
+counts x >= 0 minimise |A x - histogram|, each length weighted by one over the
+square root of its count; they are rounded, bounded by what the histogram can
+serve, and the pieces that remain are packed greedily (longest first, each into
+the fullest window that holds it) with whole groups of equal windows moved at
+once. A window holds at most window / grain pieces, and each piece leaves up to
+grain - 1 tokens of room.
 
 Only the histogram (window / grain numbers) comes to the driver. Documents get
 their place from their rank among pieces of equal length, which is computed in
@@ -14,9 +16,11 @@ two levels (a salt's offset, and the rank within the salt), so no partition
 holds all pieces of one length.
 
 Edge cases: null and empty texts have length 0 and no row; null ids are packed
-like others; repeated rows are packed as often as they occur (equal rows share
-out the ranks among them in no fixed order, which changes nothing in the
-result); an empty table gives no rows.
+like others; repeated rows are packed as often as they occur (rows equal in id,
+piece and length share out the ranks among them in no fixed order, which changes
+nothing in the result); an empty table gives no rows. Texts are tokenised whole,
+however long. Ids keep their type; other columns, whatever their names, are left
+alone.
 """
 
 from __future__ import annotations
