@@ -113,8 +113,9 @@ def _notes(nodes: DataFrame) -> DataFrame:
     n = _ok(nodes)
     notes = n.where("tag = 'authorialNote'").select("doc_id", F.col("ord").alias("at"), "end_ord", F.col("attrs")["marker"].alias("marker"), "text")
     refs = n.where("tag = 'ref' and attrs['href'] is not null").select("doc_id", F.col("ord").alias("ref_ord"), F.col("attrs")["href"].alias("href"))
-    j = notes.join(refs.withColumnRenamed("doc_id", "_d"), (notes["doc_id"] == F.col("_d")) & (F.col("ref_ord") > notes["at"]) & (F.col("ref_ord") <= notes["end_ord"]), "left")
-    return j.groupBy("doc_id", "at", "marker", "text").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_ord").isNotNull(), F.struct("ref_ord", "href")))), lambda x: x["href"]).alias("refs"))
+    j = notes.select("doc_id", "at", "end_ord").join(refs.withColumnRenamed("doc_id", "_d"), (F.col("doc_id") == F.col("_d")) & (F.col("ref_ord") > F.col("at")) & (F.col("ref_ord") <= F.col("end_ord")))
+    got = j.groupBy("doc_id", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_ord", "href"))), lambda x: x["href"]).alias("refs"))
+    return notes.drop("end_ord").join(got, ["doc_id", "at"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
 
 
 def element_texts(nodes: DataFrame, requests: DataFrame | None = None, kind: str | None = None) -> DataFrame:
