@@ -75,14 +75,15 @@ def spectrogram(x: np.ndarray, frame: int = FRAME, hop: int = HOP) -> np.ndarray
 
 
 def _spread(x: np.ndarray, r: int, axis: int) -> np.ndarray:
-    """Maximum over r cells to each side."""
-    out = x.copy()
-    n = x.shape[axis]
-    for k in range(1, min(r, n - 1) + 1):
-        a, b = [slice(None)] * x.ndim, [slice(None)] * x.ndim
-        a[axis], b[axis] = slice(k, None), slice(None, -k)
-        np.maximum(out[tuple(a)], x[tuple(b)], out=out[tuple(a)])
-        np.maximum(out[tuple(b)], x[tuple(a)], out=out[tuple(b)])
+    """Maximum over r cells to each side, of values that aren't negative; windows grow by doubling."""
+    out = np.pad(x, [(r, r) if k == axis else (0, 0) for k in range(x.ndim)])
+    done, cut = 1, [slice(None)] * x.ndim
+    while done < 2 * r + 1:
+        step = min(done, 2 * r + 1 - done)
+        a, b = cut.copy(), cut.copy()
+        a[axis], b[axis] = slice(None, -step), slice(step, None)
+        out = np.maximum(out[tuple(a)], out[tuple(b)])
+        done += step
     return out
 
 
@@ -101,7 +102,10 @@ def fingerprints_of(x: np.ndarray, rate: int, frame: int = FRAME, hop: int = HOP
     near = np.abs(f[b] - f[a]) <= span
     a, b = a[near], b[near]
     ms, code = (t[a] * hop * 1000 // max(rate, 1)).astype(np.int32), f[a].astype(np.int64) << 24 | f[b].astype(np.int64) << 8 | (t[b] - t[a])
-    order = np.lexsort((code, ms, clip[a]))
+    if hop * 1000 >= max(rate, 1):  # a frame, a time: pairs come by clip, time and first peak already
+        order = np.argsort(a << 32 | (code & 0xFFFFFF), kind="stable")
+    else:
+        order = np.lexsort((code, ms, clip[a]))
     return ms[order], code[order], np.bincount(clip[a], minlength=len(x))
 
 
