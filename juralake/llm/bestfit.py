@@ -11,8 +11,8 @@ A row is one window: ids as a little-endian binary vector padded with
 tokens), positions that start again at 0 in each segment, and for each segment
 its document, its piece number and its offset in the document's ids.
 
-``write_binary`` puts the same into files that a trainer can map: id and position
-matrices, cumulative lengths, and segments; ``read_binary`` has the rows back.
+``write_binary`` puts the same into files for a trainer: the id matrix (which it
+can map), positions, cumulative lengths, and segments; ``read_binary`` has the rows back.
 
 Edge cases: null and empty texts have no tokens and no segment; a null id stays
 null in the segments; repeated rows are packed as often as they occur; an empty
@@ -173,7 +173,7 @@ def _files(folder: str):
 
 
 def write_binary(packed: DataFrame, folder: str) -> DataFrame:
-    """Writes each partition to ``part-<n>.*`` in a shared folder: ``ids`` and ``pos``, matrices of a row for each window; ``len``, for each window the number of its segments and then its cumulative lengths (int32); ``seg``, Arrow's file of the segments. Returns part, path, windows, tokens.
+    """Writes each partition to ``part-<n>.*`` in a shared folder: ``ids``, a matrix of a row for each window; ``pos``, the same for positions, which repeat so much that they are kept as a zstd stream; ``len``, for each window the number of its segments and then its cumulative lengths (int32); ``seg``, Arrow's file of the segments. Returns part, path, windows, tokens.
 
     A file appears under its name only when it is whole, so a lost or repeated task leaves no torn file. Lazy: files are written as the result is read.
     """
@@ -186,7 +186,7 @@ def write_binary(packed: DataFrame, folder: str) -> DataFrame:
         ctx = TaskContext.get()
         part, rows, tokens = ctx.partitionId(), 0, 0
         name = f"{path}/part-{part:05d}"
-        out = {k: files.open_output_stream(f"{name}.{k}.{ctx.taskAttemptId()}") for k in PARTS}
+        out = {k: files.open_output_stream(f"{name}.{k}.{ctx.taskAttemptId()}", compression="zstd" if k == "pos" else None) for k in PARTS}
         seg = None
         for b in batches:
             if not b.num_rows:
@@ -223,7 +223,7 @@ def read_binary(manifest: DataFrame, id_type: str = "bigint", window: int = WIND
         for b in batches:
             for folder, name in (x.as_py().rsplit("/", 1) for x in b.column("path")):
                 files, path = _files(folder)
-                with files.open_input_file(f"{path}/{name}.ids") as ids, files.open_input_file(f"{path}/{name}.pos") as pos, files.open_input_file(f"{path}/{name}.len") as f, pa.ipc.open_file(files.open_input_file(f"{path}/{name}.seg")) as seg:
+                with files.open_input_file(f"{path}/{name}.ids") as ids, files.open_input_stream(f"{path}/{name}.pos", compression="zstd") as pos, files.open_input_file(f"{path}/{name}.len") as f, pa.ipc.open_file(files.open_input_file(f"{path}/{name}.seg")) as seg:
                     flat, at = np.frombuffer(f.read(), "<i4"), 0
                     for k in range(seg.num_record_batches):
                         s = seg.get_batch(k).column("segments")
