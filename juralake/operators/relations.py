@@ -81,8 +81,11 @@ def citations_of(works: DataFrame, citations: DataFrame, direction: str = "both"
     sides = {"out": ["source"], "in": ["target"], "both": ["source", "target"]}[direction]
     # a work depends on source and target alone, so copies of a pair go first
     c = citations.where("source is not null and target is not null").groupBy("source", "target").agg(F.min("description").alias("description"))
-    found = None
+    # an id's works are listed once an id, and a pair's lists are united in its row: no copies of results are looked for
     for side in sides:
-        part = _by_prefix(c, side, works, strict).select("work", "source", "target", "description")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct() if len(sides) > 1 else found
+        lists = works_of(c, side, works, strict).groupBy(side).agg(F.collect_list("work").alias(f"_{side}"))
+        c = c.join(lists, side, "left")
+    none = F.array().cast("array<string>")
+    every = [F.coalesce(f"_{side}", none) for side in sides]
+    found = c.withColumn("work", F.explode(every[0] if len(every) == 1 else F.array_union(*every)))
+    return found.select("work", "source", "target", "description")
