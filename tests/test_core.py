@@ -290,3 +290,35 @@ def test_shared_tables_build_once(spark, tmp_path):
     assert s.get(spark, "n", source_state(spark, path), build).count() == 3 and len(built) == 2
     spark.range(4).write.mode("append").parquet(path)
     assert s.get(spark, "n", source_state(spark, path), build).count() == 7 and len(built) == 3
+
+
+def test_topic_classes_hold_every_link(spark):
+    """Hundreds of works under one parent and some under several: all links, counted and by class, with no cap."""
+    wt = spark.createDataFrame([(f"w{i}", f"t{i % 4}") for i in range(60)] + [("w0", "t1"), ("w1", "t9"), ("alone", "t5"), ("none", "t6")], "work string, topic string")
+    tp = spark.createDataFrame([("t0", "a"), ("t1", "b"), ("t2", "b"), ("t3", "c"), ("t9", "c"), ("t5", "d"), ("t6", None)], "topic string, parent string")
+    w = spark.createDataFrame([("w0", "1"), ("w0", "2"), ("w1", None)], "work string, legal_id string")
+    d = catalogue.topic_classes(wt, tp, w).collect()
+    up = {r["work"]: set(r["parents"]) for r in d}
+    links = {x: sum(1 for y in up if y != x and up[x] & up[y]) for x in up}
+    assert {r["work"]: r["links"] for r in d} == links and links["w0"] > 20 and links["alone"] == 0 and len(d) == len(up) + 1
+    some = catalogue.related_by_topic(wt, tp, w, spark.createDataFrame([("w0",), ("w1",)], "work string"))
+    assert some.select("work", "other").distinct().count() == links["w0"] + links["w1"]
+
+
+def test_results_are_not_deduplicated_by_shuffle(spark):
+    """Citations unite an id's works in the row; memorials of acts in one issue shuffle no lists."""
+    w = spark.createDataFrame([("a",), ("a/1",), ("b",)], "work string")
+    c = spark.createDataFrame([("a/1/x", "a/1", "d"), ("b", "a", None), ("z", "z", None)], "source string, target string, description string")
+    d = relations.citations_of(w, c)
+    assert sorted((r["work"], r["source"]) for r in d.collect()) == [("a", "a/1/x"), ("a", "b"), ("a/1", "a/1/x"), ("b", "b")]
+    assert "Union" not in d._jdf.queryExecution().optimizedPlan().toString()
+    m = spark.createDataFrame([("x", "m1"), ("y", "m1"), ("y", "m2"), ("z", "m2")], "act string, memorial string")
+    assert sorted(map(tuple, catalogue.memorial(m).collect())) == [("x", "m1", ["x", "y"]), ("y", "m1", ["x", "y", "z"]), ("z", "m2", ["y", "z"])]
+
+
+def test_copies_are_found_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "ROWS", 100)
+    t = spark.range(1000).select(F.concat(F.lit("s"), F.col("id") % 3).alias("s"), F.lit("p").alias("p"), F.col("id").cast("string").alias("o"))
+    d = catalogue.explore_node(t.unionByName(t))
+    assert d.where("direction = 'out'").count() == 150 and d.where("direction = 'in'").count() == 1000
+    assert "RepartitionByExpression" in d._jdf.queryExecution().optimizedPlan().toString() and ", 40" in d._jdf.queryExecution().optimizedPlan().toString()
