@@ -322,3 +322,17 @@ def test_copies_are_found_in_bounded_parts(spark, monkeypatch):
     d = catalogue.explore_node(t.unionByName(t))
     assert d.where("direction = 'out'").count() == 150 and d.where("direction = 'in'").count() == 1000
     assert "RepartitionByExpression" in d._jdf.queryExecution().optimizedPlan().toString() and ", 40" in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gazette_pairs_are_not_shuffled(spark):
+    """A pair that several drafts make comes once, and the join that makes pairs is the last step."""
+    from juralake.operators import catalogue
+
+    acts = spark.createDataFrame([("w", "a1"), ("w", "a2"), ("v", "a2"), (None, "a1")], "work string, act string")
+    drafts = spark.createDataFrame([(d, a, r) for d, a in (("d1", "a1"), ("d2", "a2")) for r in ("x/eli/fga/1", "x/eli/oc/1", None)] + [("d2", "a2", "x/eli/fga/2"), (None, "a2", "x/eli/fga/3")], "draft string, act string, result string")
+    results = spark.createDataFrame([("x/eli/fga/1", "g", None), ("x/eli/fga/1", "g", None), ("x/eli/fga/1", "h", "t")], "doc string, genre string, date string")
+    d = catalogue.gazette_documents(acts, drafts, results, None)
+    one = [("x/eli/fga/1", "g", None), ("x/eli/fga/1", "h", "t")]
+    assert sorted(map(str, map(tuple, d.collect()))) == sorted(map(str, [(w, *r) for w in ("w", "v", None) for r in one] + [(w, "x/eli/fga/2", None, None) for w in ("w", "v")]))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
