@@ -81,12 +81,18 @@ def frbr_metadata(nodes: DataFrame) -> DataFrame:
 
 
 def classify(nodes: DataFrame) -> DataFrame:
-    """doc_id, pattern, has_body and counts of articles, levels, mods (in the body) and components (anywhere)."""
-    # the root stands for documents without any of these
-    n = _ok(nodes).where((F.col("ord") == 0) | F.col("tag").isin("article", "level", "mod", "component", *_MARKS)).select("doc_id", "ord", "tag").join(body_of(nodes), "doc_id", "left")
-    inside = F.coalesce((F.col("ord") >= F.col("body_ord")) & (F.col("ord") <= F.col("body_end")), F.lit(False))
-    count = lambda *tags: F.count(F.when(inside & F.col("tag").isin(*tags), 1)).cast("int")
-    d = n.groupBy("doc_id").agg(F.max(F.col("body_ord").isNotNull()).alias("has_body"), count("article").alias("article_count"), count("level").alias("level_count"), count("mod").alias("mod_count"), count(*_MARKS).alias("marks"), F.count(F.when(F.col("tag") == "component", 1)).cast("int").alias("component_count"))
+    """doc_id, pattern, has_body and counts of articles, levels, mods (in the body) and components (anywhere).
+
+    What lies below one parent is in the body or outside it together, so rows are counted by parent where they are read, and these counts, not the rows, meet the body.
+    """
+    # the root stands for documents without any of these; what is next below it is never in the body
+    n = _ok(nodes).where((F.col("ord") == 0) | F.col("tag").isin("article", "level", "mod", "component", *_MARKS))
+    count = lambda *tags: F.count(F.when(F.col("tag").isin(*tags), 1))
+    n = n.groupBy("doc_id", F.coalesce("parent_ord", F.lit(0)).alias("up")).agg(count("article").alias("articles"), count("level").alias("levels"), count("mod").alias("mods"), count(*_MARKS).alias("marks"), count("component").alias("components"))
+    n = n.join(body_of(nodes), "doc_id", "left")
+    inside = F.coalesce((F.col("up") >= F.col("body_ord")) & (F.col("up") <= F.col("body_end")), F.lit(False))
+    total = lambda name: F.coalesce(F.sum(F.when(inside, F.col(name))), F.lit(0)).cast("int")
+    d = n.groupBy("doc_id").agg(F.max(F.col("body_ord").isNotNull()).alias("has_body"), total("articles").alias("article_count"), total("levels").alias("level_count"), total("mods").alias("mod_count"), total("marks").alias("marks"), F.coalesce(F.sum("components"), F.lit(0)).cast("int").alias("component_count"))
     pattern = F.when(~F.col("has_body"), "NoBody").when((F.col("article_count") > 0) & (F.col("marks") > 0), "Structured").when(F.col("article_count") > 0, "FlatArticles").when(F.col("level_count") > 0, "LevelBased").when(F.col("mod_count") > 0, "Amendment").otherwise("Other")
     return d.select("doc_id", pattern.alias("pattern"), "has_body", "article_count", "level_count", "mod_count", "component_count")
 
